@@ -6,8 +6,6 @@ deviation, extremes and interpolated percentiles of 8-bit data follow exactly fr
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 from featurevote.values import (
@@ -18,6 +16,7 @@ from featurevote.values import (
 )
 
 _LEVELS = np.arange(HISTOGRAM_BINS, dtype=np.float64)
+_WEIGHTS: dict[tuple[int, int], np.ndarray] = {}
 
 
 def to_rgb(data: bytes, height: int, width: int, n_channels: int) -> np.ndarray | None:
@@ -30,9 +29,16 @@ def to_rgb(data: bytes, height: int, width: int, n_channels: int) -> np.ndarray
     return raster[:, :, 2::-1]
 
 
-@lru_cache(maxsize=64)
 def _cubic_weights(size: int, target: int) -> np.ndarray:
     """Rows of cubic-convolution weights (a = -0.5), widened when shrinking."""
+    if (size, target) not in _WEIGHTS:
+        if len(_WEIGHTS) >= 64:
+            _WEIGHTS.clear()
+        _WEIGHTS[size, target] = _new_cubic_weights(size, target)
+    return _WEIGHTS[size, target]
+
+
+def _new_cubic_weights(size: int, target: int) -> np.ndarray:
     scale = size / target
     stretch = max(scale, 1.0)
     centre = (np.arange(target)[:, None] + 0.5) * scale
@@ -43,7 +49,7 @@ def _cubic_weights(size: int, target: int) -> np.ndarray:
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def resample(raster: np.ndarray, height: int, width: int, method: str = "cubic") -> np.ndarray:
+def resample_raster(raster: np.ndarray, height: int, width: int, method: str = "cubic") -> np.ndarray:
     """Raster of the wanted size by cubic convolution or by nearest pixel."""
     h, w = raster.shape[:2]
     if (h, w) == (height, width):

@@ -7,6 +7,7 @@ more than its own input and its output.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,13 +16,29 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurevote import values
 from featurevote.functions import rasters
+from featurevote.functions.rasters import (
+    channel_counts,
+    feature_rows,
+    global_statistics,
+    per_channel_statistics,
+    resample_raster,
+    standardized_tensor,
+    to_rgb,
+)
 from featurevote.functions.vectors import standardized
+from featurevote.values import (
+    CHANNEL_MEAN,
+    CHANNEL_STD,
+    FEATURE_WIDTH,
+    HISTOGRAM_BINS,
+    IMAGE_HEIGHT,
+    IMAGE_WIDTH,
+)
 
 # Executors need no installed copy of the kernels: they travel with the serialized function.
-cloudpickle.register_pickle_by_value(values)
 cloudpickle.register_pickle_by_value(rasters)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GLOBAL_STATISTICS = (
     "mean", "std", "min", "max", "median", "p25", "p75", "var", "range", "sum", "len", "nonzero",
@@ -41,9 +58,9 @@ def _byte_view(scalar: pa.BinaryScalar) -> np.ndarray:
 
 
 def _count_rows(content: pa.Array, n_channels: int) -> np.ndarray:
-    counts = np.zeros((len(content), n_channels, values.HISTOGRAM_BINS), dtype=np.int64)
+    counts = np.zeros((len(content), n_channels, HISTOGRAM_BINS), dtype=np.int64)
     for i, scalar in enumerate(content):
-        counts[i] = rasters.channel_counts(_byte_view(scalar), n_channels)
+        counts[i] = channel_counts(_byte_view(scalar), n_channels)
     return counts
 
 
@@ -65,8 +82,8 @@ def byte_statistics(content: Column, layout: str, n_channels: int = 3) -> Column
     def describe(column: pa.Array) -> pa.Array:
         counts = _count_rows(column, n_channels)
         if layout == "per_channel":
-            return _list_array(rasters.per_channel_statistics(counts))
-        return _list_array(rasters.global_statistics(counts))
+            return _list_array(per_channel_statistics(counts))
+        return _list_array(global_statistics(counts))
 
     return describe(content)
 
@@ -96,11 +113,11 @@ def image_features(
 
     @F.arrow_udf("struct<features:array<double>,is_valid:boolean>")
     def extract(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array) -> pa.Array:
-        counts = np.zeros((len(data), 3, values.HISTOGRAM_BINS), dtype=np.int64)
+        counts = np.zeros((len(data), 3, HISTOGRAM_BINS), dtype=np.int64)
         readable = np.zeros(len(data), dtype=bool)
         for i, raster in enumerate(_rasters(data, height, width, channels, resample)):
             if raster is not None:
-                counts[i] = rasters.channel_counts(raster)
+                counts[i] = channel_counts(raster)
                 readable[i] = True
         return _feature_struct(counts, readable, layout)
 
@@ -111,7 +128,7 @@ def embed_images(
     images: DataFrame,
     make_model: Callable[[], Callable[[np.ndarray], np.ndarray]],
     image: str = "image",
-    width: int = values.FEATURE_WIDTH,
+    width: int = FEATURE_WIDTH,
     resample: str = "cubic",
     chunk: int = 32,
 ) -> DataFrame:
@@ -138,7 +155,7 @@ def embed_images(
 
             for i, raster in enumerate(_rasters(data, height, width_px, channels, resample)):
                 if raster is not None:
-                    waiting.append((i, rasters.standardized_tensor(raster)))
+                    waiting.append((i, standardized_tensor(raster)))
                 if len(waiting) >= chunk:
                     flush()
             flush()
@@ -148,18 +165,18 @@ def embed_images(
 
 
 def standardized_channels(df: DataFrame, value_columns: tuple[str, str, str]) -> DataFrame:
-    """Replace three byte-valued channel columns by their standardized values."""
+    """Replace three byte-valued channel columns by their standardized """
     return df.withColumns(
         {
             name: standardized(F.col(name), mean, std)
-            for name, mean, std in zip(value_columns, values.CHANNEL_MEAN, values.CHANNEL_STD)
+            for name, mean, std in zip(value_columns, CHANNEL_MEAN, CHANNEL_STD)
         }
     )
 
 
 def histogram_rows(df: DataFrame, counts: str, key: str) -> DataFrame:
     """Long form of a counts array: (key, channel, bin, n), empty bins left out."""
-    bins = F.lit(values.HISTOGRAM_BINS)
+    bins = F.lit(HISTOGRAM_BINS)
     return (
         df.select(key, F.posexplode(counts).alias("position", "n"))
         .where("n > 0")
@@ -179,14 +196,14 @@ def _raster_columns(image: str) -> list[Column]:
 def _rasters(data, height, width, channels, resample) -> Iterator[np.ndarray | None]:
     for row in zip(data, height, width, channels):
         content, h, w, c = (cell.as_py() for cell in row)
-        raster = rasters.to_rgb(content, h or 0, w or 0, c or 0)
+        raster = to_rgb(content, h or 0, w or 0, c or 0)
         if raster is not None and resample:
-            raster = rasters.resample(raster, values.IMAGE_HEIGHT, values.IMAGE_WIDTH, resample)
+            raster = resample_raster(raster, IMAGE_HEIGHT, IMAGE_WIDTH, resample)
         yield raster
 
 
 def _feature_struct(counts: np.ndarray, readable: np.ndarray, layout: str) -> pa.Array:
-    features = rasters.feature_rows(counts, layout)
+    features = feature_rows(counts, layout)
     features[~readable] = 0.0
     return _struct(features, readable)
 

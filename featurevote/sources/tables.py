@@ -21,8 +21,12 @@ METRICS_SCHEMA_WITH_SAMPLES = T.StructType(
 )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, base_path: str | None = None) -> DataFrame:
+    """One table, or several directories named by glob signs in the path.
+
+    Directories called ``name=value`` need ``base_path``, the root of the table they belong to.
+    """
+    return read_tables(spark, [path], base_path)
 
 
 def read_tables(spark: SparkSession, paths: Sequence[str], base_path: str | None = None) -> DataFrame:
