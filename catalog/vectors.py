@@ -28,8 +28,11 @@ def channel_histogram(spark, sf_dir):
        round(stddev_pop(v), 6) AS std, min(v)::DOUBLE AS min, max(v)::DOUBLE AS max
 FROM bytes GROUP BY doc_id, channel""")
 def channel_statistics(spark, sf_dir):
+    """Texts of one or two bytes have no third channel, so no row for it."""
     described = S.rasters(spark, sf_dir).select(
-        "doc_id", features.byte_statistics(F.col("content"), "per_channel").alias("s")
+        "doc_id",
+        F.length("content").alias("n_bytes"),
+        features.byte_statistics(F.col("content"), "per_channel").alias("s"),
     )
     names = features.CHANNEL_STATISTICS
     channels = [
@@ -39,7 +42,8 @@ def channel_statistics(spark, sf_dir):
         )
         for c in range(3)
     ]
-    return described.select("doc_id", F.inline(F.array(*channels)))
+    rows = described.select("doc_id", "n_bytes", F.inline(F.array(*channels)))
+    return rows.where("channel < n_bytes").drop("n_bytes")
 
 
 @query(f"""{S.BYTES} SELECT doc_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std,
@@ -61,7 +65,7 @@ def global_statistics(spark, sf_dir):
 @query(f"""{S.BYTES}, stats AS (
   SELECT doc_id, channel, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS low, max(v) AS high
   FROM bytes GROUP BY doc_id, channel)
-SELECT doc_id, true AS is_valid, 2048 AS width, 3.0::DOUBLE AS histogram_sum,
+SELECT doc_id, true AS is_valid, 2048 AS width, count(*)::DOUBLE AS histogram_sum,
        round(sum(mean * (channel + 1)), 6) AS means, round(sum(std * (channel + 1)), 6) AS stds,
        sum(low * (channel + 1))::DOUBLE AS lows, sum(high * (channel + 1))::DOUBLE AS highs,
        0.0::DOUBLE AS tail
@@ -159,10 +163,15 @@ def zero_vector_for_missing(spark, sf_dir):
 FROM bytes GROUP BY doc_id""")
 def standardized_channels(spark, sf_dir):
     described = S.rasters(spark, sf_dir).select(
-        "doc_id", features.byte_statistics(F.col("content"), "per_channel").alias("s")
+        "doc_id",
+        F.length("content").alias("n_bytes"),
+        features.byte_statistics(F.col("content"), "per_channel").alias("s"),
     )
     names = ("red", "green", "blue")
-    means = described.select("doc_id", *[F.col("s")[4 * c].alias(n) for c, n in enumerate(names)])
+    means = described.select(
+        "doc_id",
+        *[F.when(F.col("n_bytes") > c, F.col("s")[4 * c]).alias(n) for c, n in enumerate(names)],
+    )
     rows = features.standardized_channels(means, names)
     return rows.select("doc_id", *[F.round(n, 6).alias(n) for n in names])
 

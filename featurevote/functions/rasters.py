@@ -46,7 +46,7 @@ def _new_cubic_weights(size: int, target: int) -> np.ndarray:
     near = 1.5 * t**3 - 2.5 * t**2 + 1.0
     far = -0.5 * t**3 + 2.5 * t**2 - 4.0 * t + 2.0
     weights = np.where(t < 1.0, near, np.where(t < 2.0, far, 0.0))
-    return weights / weights.sum(axis=1, keepdims=True)
+    return (weights / weights.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def resample_raster(raster: np.ndarray, height: int, width: int, method: str = "cubic") -> np.ndarray:
@@ -57,11 +57,16 @@ def resample_raster(raster: np.ndarray, height: int, width: int, method: str = "
     if method == "nearest":
         rows = ((np.arange(height) + 0.5) * h / height).astype(np.intp)
         cols = ((np.arange(width) + 0.5) * w / width).astype(np.intp)
-        return raster[rows[:, None], cols[None, :]]
-    across = np.einsum("xw,hwc->hxc", _cubic_weights(w, width), raster, optimize=True)
-    across = np.clip(np.floor(across + 0.5), 0, 255)
-    down = np.einsum("yh,hxc->yxc", _cubic_weights(h, height), across, optimize=True)
-    return np.clip(np.floor(down + 0.5), 0, 255).astype(np.uint8)
+        return raster.take(rows, axis=0).take(cols, axis=1)
+    # Across first, then down, rounding to whole levels after each pass.
+    planes = raster.transpose(2, 0, 1).astype(np.float32)
+    across = _whole_levels(planes @ _cubic_weights(w, width).T)
+    down = _whole_levels(_cubic_weights(h, height) @ across)
+    return down.astype(np.uint8).transpose(1, 2, 0)
+
+
+def _whole_levels(planes: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(planes + np.float32(0.5)), 0, 255)
 
 
 def channel_counts(interleaved: np.ndarray, n_channels: int = 3) -> np.ndarray:
@@ -83,9 +88,11 @@ def moments(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def extremes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest value that occurs, 0 where none does."""
     present = counts > 0
     low = present.argmax(axis=-1)
     high = HISTOGRAM_BINS - 1 - present[..., ::-1].argmax(axis=-1)
+    high = np.where(present.any(axis=-1), high, 0)
     return low.astype(np.float64), high.astype(np.float64)
 
 
