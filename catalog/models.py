@@ -70,6 +70,19 @@ def batch_ensemble_metrics(spark, sf_dir):
     return ensemble.ensemble_report(voted, facts={"training_batches": 5})
 
 
+@query(f"{S.STORE} SELECT vec_id, label, 0.5::DOUBLE AS vote_share, 1.0::DOUBLE AS ensemble_prediction "
+       "FROM laid_out WHERE split = 'test'")
+def single_class_ensemble(spark, sf_dir):
+    """Ten batches of one class each: every model knows one answer, five against five is a tie."""
+    rows = _rows(spark, sf_dir, "train")
+    rows = rows.withColumn("batch", F.col("batch") + 5 * F.col("label").cast("int"))
+    estimator = train.logistic_regression("single_class_batches")
+    models = train.fit_per_batch(rows, estimator, single_class="fit", parallelism=2)
+    test = _rows(spark, sf_dir, "test").withColumn("label", F.col("label").cast("int"))
+    voted = ensemble.ensemble_votes(models, test, ["vec_id", "label"])
+    return voted.select("vec_id", "label", "vote_share", "ensemble_prediction")
+
+
 @query()
 def fit_small_preset(spark, sf_dir):
     """Fit on the first batch only and score the test rows."""

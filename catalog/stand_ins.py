@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import table
 from featurevote.functions.vectors import linear_score
-from featurevote.operators.batches import with_batch, with_split
+from featurevote.operators.batches import spread_scan, with_batch, with_split
 from featurevote.operators.sinks import FEATURE_LAYOUT, shared_folder, write_table
 from featurevote.operators.votes import majority_vote
 from featurevote.plans.score import score_linear
@@ -91,7 +91,8 @@ def feature_store(spark: SparkSession, sf_dir: str) -> str:
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, content): the whole text as bytes."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    documents = table(spark, sf_dir, "documents")
+    return spread_scan(documents.select("doc_id", F.col("text").cast("binary").alias("content")))
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

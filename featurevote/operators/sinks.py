@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from featurevote.functions.labels import key_hash, label_from_path
-from featurevote.sources.files import read_files
+from featurevote.sources.files import read_files, read_first_files
 from featurevote.values import FILE_GLOB
 
 FEATURE_LAYOUT = ("split", "label", "batch")
@@ -133,9 +133,10 @@ def ingest_files(
 
     ``split`` and ``label`` default to the path's class segment and the one above it.
     """
-    files = read_files(spark, source, name_glob, recursive=True)
-    if max_files is not None:
-        files = files.orderBy("path").limit(max_files)
+    if max_files is None:
+        files = read_files(spark, source, name_glob, recursive=True)
+    else:
+        files = read_first_files(spark, source, max_files, name_glob=name_glob, recursive=True)
     path = F.col("path")
     tagged = files.withColumns(
         {

@@ -90,12 +90,24 @@ PRESETS = {
 
 
 def training_rows(
-    df: DataFrame, features: str = "features", label: str = "label", keep: Sequence[str] = ()
+    df: DataFrame,
+    features: str = "features",
+    label: str = "label",
+    keep: Sequence[str] = (),
+    used_width: int | None = None,
 ) -> DataFrame:
-    """(keep..., features as an ML vector, label as double); nothing else leaves the scan."""
+    """(keep..., features as an ML vector, label as double); nothing else leaves the scan.
+
+    ``used_width`` drops the padding behind that position, which holds zeros only. A linear
+    model is the same without it and needs less memory; a forest samples other feature
+    subsets then, so its trees differ.
+    """
+    array = F.col(features).cast("array<double>")
+    if used_width is not None:
+        array = F.slice(array, 1, used_width)
     return df.select(
         *keep,
-        array_to_vector(F.col(features).cast("array<double>")).alias("features"),
+        array_to_vector(array).alias("features"),
         F.col(label).cast("double").alias("label"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,18 @@ def read_files(
     return reader.load(path)
 
 
-def read_first_files(spark: SparkSession, path: str, n: int, **options) -> DataFrame:
-    """The first ``n`` files in path order."""
-    return read_files(spark, path, **options).orderBy("path").limit(n)
+def read_first_files(
+    spark: SparkSession, path: str | list[str], n: int, **options
+) -> DataFrame:
+    """The first ``n`` files in path order, for trial runs.
+
+    The paths are picked from the listing alone, so only the ``n`` files are ever opened.
+    """
+    listed = read_files(spark, path, **options)
+    paths = [r["path"] for r in listed.select("path").orderBy("path").limit(n).collect()]
+    if not paths:
+        return listed.limit(0)
+    return read_files(spark, [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths])
 
 
 def read_images(

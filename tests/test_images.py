@@ -44,6 +44,15 @@ def test_scan_counts_without_opening_files(spark, folder):
     assert sinks.count_files(spark, folder + "/nowhere") == 0
 
 
+def test_first_files_open_no_others(spark, tmp_path):
+    for name in ("a[1].bin", "b*.bin", "c.bin", "d {x}.bin"):
+        (tmp_path / name).write_bytes(name.encode())
+    rows = files.read_first_files(spark, str(tmp_path), 2).collect()
+    assert sorted(bytes(r["content"]).decode() for r in rows) == ["a[1].bin", "b*.bin"]
+    assert files.read_first_files(spark, str(tmp_path), 9).count() == 4
+    assert files.read_first_files(spark, str(tmp_path), 9, name_glob="*.none").count() == 0
+
+
 def test_prepare_labels_and_keeps_valid(spark, folder):
     checked = prepare.with_validity(prepare.with_label(files.read_images(spark, folder, "*.png")))
     rows = by_name(checked, "label", "is_valid")

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog import stand_ins as S
-from featurevote.functions.vectors import linear_score, logistic
+from featurevote.functions.vectors import linear_score, logistic, pad_to_width
 from featurevote.operators import explore, sinks
 from featurevote.plans import ensemble, score, train
 from featurevote.sources.models import load_model
@@ -42,6 +42,14 @@ def test_fit_reaches_the_optimum(rows):
     assert np.abs(gradient).max() < 1e-5 and abs((p - y).mean()) < 1e-5
 
 
+def test_padding_does_not_change_a_linear_model(spark, sf_dir):
+    padded = S.laid_out(spark, sf_dir).withColumn("features", pad_to_width(F.col("features"), 100))
+    whole = train.logistic_regression("quick").fit(train.training_rows(padded))
+    short = train.logistic_regression("quick").fit(train.training_rows(padded, used_width=64))
+    assert not np.array(whole.coefficients)[64:].any()
+    np.testing.assert_allclose(np.array(whole.coefficients)[:64], np.array(short.coefficients), atol=1e-6)
+
+
 def test_presets_reach_the_estimators():
     assert train.logistic_regression("batch_safe").getAggregationDepth() == 5
     assert train.logistic_regression("configured").getRegParam() == 0.1
