@@ -204,7 +204,7 @@ def embed_with_model(spark, sf_dir):
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     embedded = embed_table(rows, make_model, "embedding", S.WIDTH, output="projected")
-    return embedded.select("vec_id", F.posexplode("projected").alias("dimension", "value")).withColumn(
+    return embedded.select("vec_id", F.posexplode_outer("projected").alias("dimension", "value")).withColumn(
         "value", F.round("value", 6)
     )
 

@@ -21,7 +21,9 @@ _WEIGHTS: dict[tuple[int, int], np.ndarray] = {}
 
 def to_rgb(data: bytes, height: int, width: int, n_channels: int) -> np.ndarray | None:
     """Raster in RGB order from row-wise BGR(A) or grey bytes; None if it is not readable."""
-    if data is None or height <= 0 or width <= 0 or len(data) != height * width * n_channels:
+    if data is None or height <= 0 or width <= 0 or n_channels not in (1, 3, 4):
+        return None
+    if len(data) != height * width * n_channels:
         return None
     raster = np.frombuffer(data, dtype=np.uint8).reshape(height, width, n_channels)
     if n_channels == 1:
@@ -97,13 +99,13 @@ def extremes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def percentile(counts: np.ndarray, q: float) -> np.ndarray:
-    """Linearly interpolated percentile (0..1) of the counted values."""
+    """Linearly interpolated percentile (0..1) of the counted values, 0 where there are none."""
     cumulative = counts.cumsum(axis=-1)
     rank = q * np.maximum(cumulative[..., -1] - 1, 0)
     below = np.floor(rank)
     lower = (cumulative <= below[..., None]).sum(axis=-1)
     upper = (cumulative <= np.ceil(rank)[..., None]).sum(axis=-1)
-    return lower + (upper - lower) * (rank - below)
+    return np.where(cumulative[..., -1] > 0, lower + (upper - lower) * (rank - below), 0.0)
 
 
 def per_channel_statistics(counts: np.ndarray) -> np.ndarray:

@@ -3,6 +3,9 @@
 Only the raster column crosses to the Python worker; keys, labels and batches stay in the
 JVM. Each row is reduced to 256-bin counts as soon as it is seen, so a batch never holds
 more than its own input and its output.
+
+``is_valid`` is a JVM expression on lengths and sizes. A filter on it therefore moves below
+the kernel instead of running the kernel a second time, and counting rows runs no kernel.
 """
 
 from __future__ import annotations
@@ -89,14 +92,21 @@ def byte_statistics(content: Column, layout: str, n_channels: int = 3) -> Column
 
 
 def byte_features(df: DataFrame, content: str = "content", layout: str = "per_channel") -> DataFrame:
-    """Add ``features`` and ``is_valid`` from raw interleaved three-channel bytes."""
+    """Add ``features`` and ``is_valid`` from raw interleaved three-channel bytes.
+
+    Empty or missing bytes keep their row, with a zero vector and ``is_valid`` false.
+    """
 
-    @F.arrow_udf("struct<features:array<double>,is_valid:boolean>")
+    @F.arrow_udf("array<double>")
     def extract(column: pa.Array) -> pa.Array:
-        counts = _count_rows(column, 3)
-        return _feature_struct(counts, counts.sum(axis=(1, 2)) > 0, layout)
+        return _list_array(feature_rows(_count_rows(column, 3), layout))
 
-    return _with_features(df, extract(F.col(content)))
+    return df.withColumns(
+        {
+            "features": extract(F.col(content)),
+            "is_valid": F.coalesce(F.octet_length(content) > 0, F.lit(False)),
+        }
+    )
 
 
 def image_features(
@@ -111,17 +121,17 @@ def image_features(
     size). Unreadable images keep their row, with a zero vector and ``is_valid`` false.
     """
 
-    @F.arrow_udf("struct<features:array<double>,is_valid:boolean>")
+    @F.arrow_udf("array<double>")
     def extract(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array) -> pa.Array:
         counts = np.zeros((len(data), 3, HISTOGRAM_BINS), dtype=np.int64)
-        readable = np.zeros(len(data), dtype=bool)
         for i, raster in enumerate(_rasters(data, height, width, channels, resample)):
             if raster is not None:
                 counts[i] = channel_counts(raster)
-                readable[i] = True
-        return _feature_struct(counts, readable, layout)
+        return _list_array(feature_rows(counts, layout))
 
-    return _with_features(images, extract(*_raster_columns(image)))
+    return images.withColumns(
+        {"features": extract(*_raster_columns(image)), "is_valid": is_readable(image)}
+    )
 
 
 def embed_images(
@@ -138,19 +148,16 @@ def embed_images(
     to (n, width). Unreadable images get a zero vector and ``is_valid`` false.
     """
 
-    @F.arrow_udf("struct<features:array<double>,is_valid:boolean>")
+    @F.arrow_udf("array<double>")
     def embed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = make_model()
         for data, height, width_px, channels in batches:
             out = np.zeros((len(data), width))
-            readable = np.zeros(len(data), dtype=bool)
             waiting: list[tuple[int, np.ndarray]] = []
 
             def flush() -> None:
                 if waiting:
-                    rows = [i for i, _ in waiting]
-                    out[rows] = model(np.stack([t for _, t in waiting]))
-                    readable[rows] = True
+                    out[[i for i, _ in waiting]] = model(np.stack([t for _, t in waiting]))
                     waiting.clear()
 
             for i, raster in enumerate(_rasters(data, height, width_px, channels, resample)):
@@ -159,9 +166,19 @@ def embed_images(
                 if len(waiting) >= chunk:
                     flush()
             flush()
-            yield _struct(out, readable)
+            yield _list_array(out)
 
-    return _with_features(images, embed(*_raster_columns(image)))
+    return images.withColumns(
+        {"features": embed(*_raster_columns(image)), "is_valid": is_readable(image)}
+    )
+
+
+def is_readable(image: str = "image") -> Column:
+    """Whether the image struct holds a raster: positive sides and as many bytes as they ask for."""
+    data, height, width, channels = _raster_columns(image)
+    sized = (height > 0) & (width > 0) & channels.isin(1, 3, 4)
+    whole = F.octet_length(data) == height.cast("bigint") * width * channels
+    return F.coalesce(sized & whole, F.lit(False))
 
 
 def standardized_channels(df: DataFrame, value_columns: tuple[str, str, str]) -> DataFrame:
@@ -178,7 +195,8 @@ def histogram_rows(df: DataFrame, counts: str, key: str) -> DataFrame:
     """Long form of a counts array: (key, channel, bin, n), empty bins left out."""
     bins = F.lit(HISTOGRAM_BINS)
     return (
-        df.select(key, F.posexplode(counts).alias("position", "n"))
+        # Outer, because a plain explode would first filter on the counts and so compute them twice.
+        df.select(key, F.posexplode_outer(counts).alias("position", "n"))
         .where("n > 0")
         .select(
             key,
@@ -200,22 +218,3 @@ def _rasters(data, height, width, channels, resample) -> Iterator[np.ndarray | N
         if raster is not None and resample:
             raster = resample_raster(raster, IMAGE_HEIGHT, IMAGE_WIDTH, resample)
         yield raster
-
-
-def _feature_struct(counts: np.ndarray, readable: np.ndarray, layout: str) -> pa.Array:
-    features = feature_rows(counts, layout)
-    features[~readable] = 0.0
-    return _struct(features, readable)
-
-
-def _struct(features: np.ndarray, readable: np.ndarray) -> pa.Array:
-    return pa.StructArray.from_arrays(
-        [_list_array(features), pa.array(readable)], names=["features", "is_valid"]
-    )
-
-
-def _with_features(df: DataFrame, extracted: Column) -> DataFrame:
-    kept = [c for c in df.columns if c not in ("features", "is_valid", "_extracted")]
-    return df.withColumn("_extracted", extracted).select(
-        *kept, "_extracted.features", "_extracted.is_valid"
-    )

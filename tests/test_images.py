@@ -136,3 +136,16 @@ def test_inference_from_files(spark, folder):
     assert len(found) == 6 and found["known.png"]["prediction"] == 1.0
     assert found["flat.png"]["prediction"] == 0.0 and not found["broken.png"]["is_valid"]
     assert abs(sum(found["grey.png"]["probability"]) - 1) < 1e-9
+
+
+def test_kernel_runs_once_and_only_where_needed(spark, folder):
+    rows = features.image_features(prepare.with_label(files.read_images(spark, folder, "*.png")))
+
+    def kernels(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+    assert kernels(rows.where("is_valid and label = 'REAL'").select("path", "features")) == 1
+    assert kernels(rows.groupBy("label", "is_valid").count()) == 0
+    content = F.col("image.data")
+    counted = rows.select("path", features.byte_counts(content, 3).alias("counts"))
+    assert kernels(features.histogram_rows(counted, "counts", "path")) == 1

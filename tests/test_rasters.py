@@ -117,3 +117,9 @@ def test_standardized_tensor():
     np.testing.assert_allclose(
         tensor[:, 0, 0], [(1 - 0.485) / 0.229, (1 - 0.456) / 0.224, (1 - 0.406) / 0.225], rtol=1e-5
     )
+
+
+@pytest.mark.parametrize("layout", ["per_channel", "global"])
+def test_no_bytes_give_zeros(layout):
+    counts = rasters.channel_counts(np.zeros(0, dtype=np.uint8))[None]
+    assert not rasters.feature_rows(counts, layout).any()
