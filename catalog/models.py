@@ -1,11 +1,13 @@
-"""Fitting, scoring and judging MLlib models. Fits are iterative, so these have no SQL twin."""
+"""Fitting, scoring and judging MLlib models. Fits are iterative, so most have no SQL twin."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog import stand_ins as S
 from catalog.registry import query
+from featurevote.functions.vectors import linear_score, logistic
 from featurevote.operators import explore, sinks
 from featurevote.plans import ensemble, train
 from featurevote.plans.evaluate import evaluate
@@ -29,6 +31,33 @@ def fit_logistic_regression(spark, sf_dir):
     return spark.createDataFrame(weights, "position int, weight double")
 
 
+_PENALTY = 0.1
+
+
+@query("""SELECT position, 0.0::DOUBLE AS gradient FROM (
+  SELECT DISTINCT generate_subscripts(embedding, 1)::INTEGER AS position FROM embeddings
+  UNION ALL SELECT 0)""")
+def logistic_regression_optimum(spark, sf_dir):
+    """Gradient of the penalized loss at the fitted weights; position 0 is the intercept.
+
+    It vanishes at the optimum and nowhere else, whatever solver found it.
+    """
+    rows = _rows(spark, sf_dir, "train")
+    estimator = train.logistic_regression(
+        "quick", regParam=_PENALTY, standardization=False, tol=1e-10, maxIter=300
+    )
+    model = train.fit_all(rows, estimator)
+    array = vector_to_array("features")
+    residual = logistic(linear_score(array, list(model.coefficients), model.intercept)) - F.col("label")
+    cells = rows.select(
+        residual.alias("residual"), F.posexplode(F.concat(F.array(F.lit(1.0)), array)).alias("position", "x")
+    )
+    penalties = F.array(F.lit(0.0), *[F.lit(_PENALTY * float(w)) for w in model.coefficients])
+    slopes = cells.groupBy("position").agg(F.avg(F.col("residual") * F.col("x")).alias("slope"))
+    gradient = F.abs(F.col("slope") + F.get(penalties, F.col("position")))
+    return slopes.select("position", F.round(gradient, 4).alias("gradient"))
+
+
 @query()
 def fit_random_forest(spark, sf_dir):
     """Test rows scored by a forest over all training rows."""

@@ -231,6 +231,16 @@ def feature_distribution(spark, sf_dir):
     return explore.feature_distribution(rows, -0.3, 0.3, 12, "embedding")
 
 
+@query(f"""{POSITIONS} SELECT position::INTEGER AS position, round(quantile_disc(value, 0.25), 6) AS p25,
+       round(quantile_disc(value, 0.5), 6) AS median, round(quantile_disc(value, 0.75), 6) AS p75
+FROM positions GROUP BY position""")
+def feature_quartiles(spark, sf_dir):
+    """Exact while a position has fewer values than the accuracy asked for, as here."""
+    rows = explore.feature_quantiles(table(spark, sf_dir, "embeddings"), features="embedding")
+    names = ("p25", "median", "p75")
+    return rows.select("position", *[F.round(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate(names)])
+
+
 @query()
 def feature_quantiles(spark, sf_dir):
     return explore.feature_quantiles(table(spark, sf_dir, "embeddings"), features="embedding")
@@ -240,3 +250,16 @@ def feature_quantiles(spark, sf_dir):
 def principal_components(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return explore.principal_components(rows, 3, "embedding")[1].select("vec_id", "components")
+
+
+@query("""SELECT vec_id, 64 AS n_components,
+       round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS squared_length
+FROM embeddings""")
+def principal_rotation(spark, sf_dir):
+    """All principal components together are a rotation, so lengths stay."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    turned = explore.principal_components(rows, S.WIDTH, "embedding")[1]
+    squares = F.aggregate("components", F.lit(0.0), lambda total, x: total + x * x)
+    return turned.select(
+        "vec_id", F.size("components").alias("n_components"), F.round(squares, 6).alias("squared_length")
+    )

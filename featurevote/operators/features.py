@@ -134,6 +134,79 @@ def image_features(
     )
 
 
+def decoded_features(
+    df: DataFrame,
+    decode: Callable[[bytes], np.ndarray] | None = None,
+    content: str = "content",
+    layout: str = "per_channel",
+    resample: str | None = "cubic",
+) -> DataFrame:
+    """Add ``features`` and ``is_valid`` from encoded image bytes, such as an ingested table's.
+
+    ``decode`` turns the bytes of one file into (height, width, 3) RGB and may raise; by
+    default Pillow does it, if the executors have it. Rows that fail keep a zero vector. Put
+    filters on other columns before this step: none moves below it, so it runs once.
+    """
+    decode = decode or pillow_rgb
+
+    @F.arrow_udf("struct<features:array<double>,is_valid:boolean>")
+    def extract(column: pa.Array) -> pa.Array:
+        counts = np.zeros((len(column), 3, HISTOGRAM_BINS), dtype=np.int64)
+        for i, scalar in enumerate(column):
+            raster = _decoded(scalar.as_py(), decode)
+            if raster is not None:
+                if resample:
+                    raster = resample_raster(raster, IMAGE_HEIGHT, IMAGE_WIDTH, resample)
+                counts[i] = channel_counts(raster)
+        readable = counts.any(axis=(1, 2))
+        return pa.StructArray.from_arrays(
+            [_list_array(feature_rows(counts, layout)), pa.array(readable)],
+            names=["features", "is_valid"],
+        )
+
+    extracted = df.withColumn("_extracted", extract.asNondeterministic()(F.col(content)))
+    kept = [c for c in df.columns if c not in ("features", "is_valid")]
+    return extracted.select(*kept, "_extracted.features", "_extracted.is_valid")
+
+
+def decodes(content: Column, decode: Callable[[bytes], np.ndarray] | None = None) -> Column:
+    """Whether encoded image bytes can be decoded to a raster with both sides above zero."""
+    decode = decode or pillow_rgb
+
+    @F.arrow_udf("boolean")
+    def check(column: pa.Array) -> pa.Array:
+        return pa.array([_decoded(scalar.as_py(), decode) is not None for scalar in column])
+
+    return check(content)
+
+
+def pillow_rgb(content: bytes) -> np.ndarray:
+    """RGB raster by Pillow."""
+    import io
+
+    try:
+        from PIL import Image
+    except ImportError as error:
+        raise MissingDecoder("install Pillow on the executors or pass a decoder") from error
+    return np.asarray(Image.open(io.BytesIO(content)).convert("RGB"))
+
+
+class MissingDecoder(RuntimeError):
+    """No decoder is available; unlike a broken file this fails the job."""
+
+
+def _decoded(content: bytes | None, decode: Callable[[bytes], np.ndarray]) -> np.ndarray | None:
+    if content is None:
+        return None
+    try:
+        raster = decode(content)
+    except MissingDecoder:
+        raise
+    except Exception:
+        return None
+    return raster if raster.ndim == 3 and raster.size and raster.shape[2] == 3 else None
+
+
 def embed_images(
     images: DataFrame,
     make_model: Callable[[], Callable[[np.ndarray], np.ndarray]],

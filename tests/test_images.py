@@ -149,3 +149,45 @@ def test_kernel_runs_once_and_only_where_needed(spark, folder):
     content = F.col("image.data")
     counted = rows.select("path", features.byte_counts(content, 3).alias("counts"))
     assert kernels(features.histogram_rows(counted, "counts", "path")) == 1
+
+
+def plain_png(content: bytes) -> np.ndarray:
+    """Decoder for the files of these tests: one IDAT chunk, no row filter."""
+    import struct
+    import zlib
+
+    width, height, _, colour = struct.unpack(">IIBB", content[16:26])
+    start = content.index(b"IDAT") + 4
+    size = struct.unpack(">I", content[start - 8 : start - 4])[0]
+    lines = np.frombuffer(zlib.decompress(content[start : start + size]), dtype=np.uint8)
+    values = lines.reshape(height, -1)[:, 1:]
+    return values.reshape(height, width, 3) if colour == 2 else np.repeat(values[:, :, None], 3, axis=2)
+
+
+def test_features_of_encoded_bytes_equal_those_of_the_image_source(spark, folder):
+    raw = files.read_files(spark, folder, "*.png", recursive=True)
+    from_bytes = by_name(features.decoded_features(raw, plain_png), "features", "is_valid")
+    images = files.read_images(spark, folder, "*.png")
+    from_images = by_name(features.image_features(images), "features", "is_valid")
+    assert sorted(from_bytes) == sorted(from_images)
+    for name, row in from_bytes.items():
+        assert row["is_valid"] == from_images[name]["is_valid"]
+        np.testing.assert_allclose(row["features"], from_images[name]["features"], atol=1e-12)
+    checked = by_name(raw.withColumn("ok", features.decodes(F.col("content"), plain_png)), "ok")
+    assert [n for n, r in checked.items() if not r["ok"]] == ["broken.png"]
+
+
+def test_filter_on_decoded_rows_decodes_once(spark, folder):
+    raw = files.read_files(spark, folder, "*.png", recursive=True)
+    valid = features.decoded_features(raw, plain_png).where("is_valid").select("path", "features")
+    plan = valid._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and valid.count() == 5
+
+
+def test_missing_decoder_is_an_error_not_a_bad_image(spark, folder):
+    try:
+        import PIL  # noqa: F401
+    except ImportError:
+        raw = files.read_files(spark, folder, "*.png", recursive=True)
+        with pytest.raises(Exception, match="Pillow"):
+            features.decoded_features(raw).collect()
