@@ -78,7 +78,7 @@ def top_importances(spark, sf_dir):
 
 
 def _per_batch(spark, sf_dir, estimator):
-    models = train.fit_per_batch(_rows(spark, sf_dir, "train"), estimator, parallelism=2)
+    models = train.fit_per_batch(_rows(spark, sf_dir, "train"), estimator, parallelism=5)
     return ensemble.ensemble_votes(models, _rows(spark, sf_dir, "test"), ["vec_id", "label"])
 
 
@@ -106,7 +106,7 @@ def single_class_ensemble(spark, sf_dir):
     rows = _rows(spark, sf_dir, "train")
     rows = rows.withColumn("batch", F.col("batch") + 5 * F.col("label").cast("int"))
     estimator = train.logistic_regression("single_class_batches")
-    models = train.fit_per_batch(rows, estimator, single_class="fit", parallelism=2)
+    models = train.fit_per_batch(rows, estimator, single_class="fit", parallelism=5)
     test = _rows(spark, sf_dir, "test").withColumn("label", F.col("label").cast("int"))
     voted = ensemble.ensemble_votes(models, test, ["vec_id", "label"])
     return voted.select("vec_id", "label", "vote_share", "ensemble_prediction")

@@ -11,7 +11,6 @@ HISTOGRAM_BINS = 256
 FEATURE_WIDTH = 2048
 
 # Classes. Feature tables store REAL as 1; the swapped map is the one some callers configure.
-CLASS_NAMES = ("REAL", "FAKE")
 LABEL_TO_INT = {"REAL": 1, "FAKE": 0}
 LABEL_TO_INT_SWAPPED = {"REAL": 0, "FAKE": 1}
 LABEL_PATTERN = "/(REAL|FAKE)/"
@@ -19,7 +18,6 @@ FILE_GLOB = "*.jpg"
 
 # Batches and expected sizes.
 TRAIN_BATCHES = 5
-TEST_BATCHES = 1
 SPLIT_WEIGHTS = (0.2, 0.2, 0.2, 0.2, 0.2)
 SPLIT_SEED = 42
 EXPECTED_TOTAL = 120_000

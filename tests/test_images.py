@@ -191,3 +191,27 @@ def test_missing_decoder_is_an_error_not_a_bad_image(spark, folder):
         raw = files.read_files(spark, folder, "*.png", recursive=True)
         with pytest.raises(Exception, match="Pillow"):
             features.decoded_features(raw).collect()
+
+
+def write_jpeg(spark, path, grey: int, size: int = 32):
+    """Flat JPEG by the JVM's own encoder."""
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(size, size, jvm.java.awt.image.BufferedImage.TYPE_3BYTE_BGR)
+    pixels = image.getRaster()
+    for y in range(size):
+        for x in range(size):
+            for band in range(3):
+                pixels.setSample(x, y, band, grey)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(path)))
+
+
+def test_default_settings_on_jpeg_files(spark, tmp_path):
+    write_jpeg(spark, tmp_path / "train" / "REAL" / "a.jpg", 180)
+    write_jpeg(spark, tmp_path / "train" / "FAKE" / "b.jpg", 40)
+    write_png(tmp_path / "train" / "FAKE" / "other.png", np.full((2, 2, 3), 1))
+    rows = by_name(features.image_features(prepare.prepare(spark, str(tmp_path))), "label", "features")
+    assert sorted((n, r["label"]) for n, r in rows.items()) == [("a.jpg", "REAL"), ("b.jpg", "FAKE")]
+    for name, grey in (("a.jpg", 180), ("b.jpg", 40)):
+        vector = np.array(rows[name]["features"])
+        assert abs(vector[:768].sum() - 3) < 1e-9 and all(abs(vector[768 + 4 * c] - grey) < 3 for c in range(3))

@@ -12,6 +12,7 @@ from featurevote.functions.vectors import linear_score, logistic, pad_to_width
 from featurevote.operators import explore, sinks
 from featurevote.plans import ensemble, score, train
 from featurevote.sources.models import load_model
+from featurevote.sources.tables import read_batches
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +73,16 @@ def test_one_model_per_batch(rows):
     assert "Exchange" not in plan
 
 
+def test_each_fit_reads_its_own_directories(spark, sf_dir):
+    path = sinks.shared_folder(spark)
+    sinks.write_table(S.laid_out(spark, sf_dir), path, sinks.FEATURE_LAYOUT)
+    stored = train.training_rows(read_batches(spark, path, split="train"), keep=["batch"])
+    part = stored.where(F.col("batch") == 3).select("features", "label")
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "(batch#" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "ReadSchema: struct<features:array<float>>" in plan and "EvalPython" not in plan
+
+
 def test_forest_votes_like_its_own_prediction(rows):
     model = train.random_forest("small", numTrees=5).fit(rows)
     wide = score.score_all({1: model}, rows, ["vec_id"])
