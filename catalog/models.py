@@ -9,7 +9,7 @@ from catalog import stand_ins as S
 from catalog.registry import query
 from featurevote.functions.vectors import linear_score, logistic
 from featurevote.operators import explore, sinks
-from featurevote.plans import ensemble, train
+from featurevote.plans import ensemble, runs, train
 from featurevote.plans.evaluate import evaluate
 from featurevote.plans.infer import predict
 from featurevote.plans.score import score
@@ -146,3 +146,17 @@ def batch_inference(spark, sf_dir):
     columns = ("vec_id", "label", "prediction", "probability")
     sinks.save_predictions(scored, output, columns)
     return spark.read.parquet(output)
+
+
+@query()
+def training_run(spark, sf_dir):
+    """Both models of a preset on all batches: metrics by model, from the written predictions."""
+    store = S.feature_store(spark, sf_dir)
+    return runs.train_on_all(spark, store, sinks.shared_folder(spark), "small", key="vec_id")
+
+
+@query()
+def ensemble_run(spark, sf_dir):
+    """One model per batch, votes and metrics written; the metric table."""
+    store, output = S.feature_store(spark, sf_dir), sinks.shared_folder(spark)
+    return runs.train_ensemble(spark, store, output, "lr", key="vec_id", parallelism=5)["metrics"]

@@ -1,4 +1,8 @@
-"""Writing tables and checking what was written."""
+"""Writing tables and checking what was written.
+
+Checks read narrow columns back instead of observing the write: once a Spark 4.1 session has
+used an ``Observation``, freshly fitted models can no longer be sent to its executors.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featurevote.functions.labels import key_hash, label_from_path
@@ -54,35 +58,36 @@ def spread_for_layout(
 def write_verified(
     df: DataFrame, path: str, partition_by: Sequence[str] = FEATURE_LAYOUT
 ) -> DataFrame:
-    """Write, read back, compare: (partition columns..., n_saved, n_written, total_saved, ok).
+    """Write, read back, compare totals: (partition columns..., n_saved, n_written, total_saved, ok).
 
-    The rows written are counted by the write job itself; the rows saved come from Parquet
-    footers. ``ok`` holds for all groups or none, as the write is one job.
+    ``ok`` holds for all groups or none. Use :func:`write_batches_verified` to see which
+    group is short.
     """
-    written = Observation()
-    write_table(df.observe(written, F.count(F.lit(1)).alias("n")), path, partition_by)
-    n_written = int(written.get["n"])
-    saved = (
-        df.sparkSession.read.schema(df.schema)
-        .parquet(path)
-        .groupBy(*partition_by)
-        .agg(F.count(F.lit(1)).alias("n_saved"))
+    batches = write_batches_verified(df, path, partition_by)
+    totals = batches.agg(F.sum("n_input").alias("n_written"), F.sum("n_saved").alias("total_saved"))
+    return (
+        batches.select(*partition_by, "n_saved")
+        .withColumns({c: totals.select(c).scalar() for c in ("n_written", "total_saved")})
+        .withColumn("ok", F.col("n_written") == F.col("total_saved"))
     )
-    total = saved.agg(F.coalesce(F.sum("n_saved"), F.lit(0).cast("bigint"))).scalar()
-    return saved.withColumns(
-        {"n_written": F.lit(n_written).cast("bigint"), "total_saved": total}
-    ).withColumn("ok", F.col("n_written") == F.col("total_saved"))
 
 
-def write_batches_verified(df: DataFrame, path: str, partition_by: Sequence[str] = FEATURE_LAYOUT) -> DataFrame:
-    """As :func:`write_verified`, but with the comparison made for every single batch.
+def write_batches_verified(
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = FEATURE_LAYOUT,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Write, read back, compare: (partition columns..., n_input, n_saved, ok) for every batch.
 
-    Counts per batch of the input need only its partition columns, so give a ``df`` whose
-    other columns are cheap or already written; they are not computed for the count.
+    The input is counted by its partition columns alone: columns that are only written, such
+    as features, are not computed again. ``source`` is counted in place of ``df`` where the
+    same rows are cheaper to get, as from a file listing. The rows saved come from Parquet
+    footers.
     """
     write_table(df, path, partition_by)
     keys = list(partition_by)
-    wanted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_input"))
+    wanted = (df if source is None else source).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_input"))
     saved = (
         df.sparkSession.read.schema(df.schema)
         .parquet(path)
@@ -131,7 +136,8 @@ def ingest_files(
 ) -> dict[str, int]:
     """Copy files into a Parquet table of bytes by split and label; returns run statistics.
 
-    ``split`` and ``label`` default to the path's class segment and the one above it.
+    ``split`` and ``label`` default to what the path says. The statistics are read back from
+    the narrow columns; a file counts as failed if not all of its bytes were stored.
     """
     if max_files is None:
         files = read_files(spark, source, name_glob, recursive=True)
@@ -144,17 +150,14 @@ def ingest_files(
             "split": F.regexp_extract(path, "/(train|test)/", 1) if split is None else split,
         }
     )
-    stats = Observation()
-    observed = tagged.observe(
-        stats,
+    stored = tagged.withColumn("stored", F.octet_length("content"))
+    write_table(stored, target, ("split", "label"))
+    stats = spark.read.schema(stored.schema).parquet(target).agg(
         F.count(F.lit(1)).alias("total_files"),
         F.coalesce(F.sum("length"), F.lit(0).cast("bigint")).alias("total_size"),
-        F.count_if(F.col("content").isNull() | (F.length("content") != F.col("length"))).alias(
-            "failed_files"
-        ),
+        F.count_if(F.col("stored").isNull() | (F.col("stored") != F.col("length"))).alias("failed_files"),
     )
-    write_table(observed, target, ("split", "label"))
-    return {name: int(value) for name, value in stats.get.items()}
+    return stats.first().asDict()
 
 
 def verify_ingest(

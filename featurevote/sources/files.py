@@ -47,7 +47,8 @@ def read_images(
 ) -> DataFrame:
     """One row per file: path and the decoded ``image`` struct (height, width, data, ...).
 
-    Files that cannot be decoded keep their row, with height and width of -1.
+    Files that cannot be decoded keep their row, with height and width of -1. ``path`` is
+    spelled as by :func:`read_files` (the image source escapes it), so both scans agree on it.
     """
     reader = (
         spark.read.format("image")
@@ -56,4 +57,6 @@ def read_images(
     )
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
-    return reader.load(path).select(F.col("image.origin").alias("path"), "image")
+    origin = F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B"))
+    plain = F.regexp_replace(F.url_decode(origin), "^file:///", "file:/")
+    return reader.load(path).select(plain.alias("path"), "image")

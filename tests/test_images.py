@@ -44,6 +44,13 @@ def test_scan_counts_without_opening_files(spark, folder):
     assert sinks.count_files(spark, folder + "/nowhere") == 0
 
 
+def test_both_scans_spell_paths_alike(spark, tmp_path):
+    for name in ("a b.png", "c+d.png", "e%20f.png", "g[1].png", "ü.png"):
+        write_png(tmp_path / "x y" / name, np.zeros((1, 1, 3)))
+    raw = {r["path"] for r in files.read_files(spark, str(tmp_path), recursive=True).collect()}
+    assert raw == {r["path"] for r in files.read_images(spark, str(tmp_path)).collect()} and len(raw) == 5
+
+
 def test_first_files_open_no_others(spark, tmp_path):
     for name in ("a[1].bin", "b*.bin", "c.bin", "d {x}.bin"):
         (tmp_path / name).write_bytes(name.encode())
@@ -119,6 +126,8 @@ def test_ingest_and_verify(spark, folder):
     source = source.withColumn("split", F.lit("train"))
     rows = sinks.verify_ingest(source, spark.read.parquet(target)).collect()
     assert len(rows) == 2 and all(r["complete"] for r in rows)
+    none = sinks.ingest_files(spark, folder, sinks.shared_folder(spark), "*.none")
+    assert none == {"total_files": 0, "total_size": 0, "failed_files": 0}
     few = sinks.shared_folder(spark)
     assert sinks.ingest_files(spark, folder + "/train", few, "*.png", max_files=2)["total_files"] == 2
     rows = sinks.verify_ingest(source, spark.read.parquet(few)).collect()

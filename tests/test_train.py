@@ -142,3 +142,10 @@ def test_principal_components(spark, sf_dir):
     want = np.linalg.eigvalsh(np.cov(x.T))[::-1]
     np.testing.assert_allclose(np.array(model.explainedVariance), want[:2] / want.sum(), rtol=1e-6)
     assert projected.select(F.size("components")).distinct().collect()[0][0] == 2
+
+
+def test_fresh_models_score_after_verified_writes(spark, sf_dir, rows):
+    sinks.write_verified(S.laid_out(spark, sf_dir), sinks.shared_folder(spark)).collect()
+    model = train.logistic_regression("small").fit(rows)
+    assert score.score(model, rows).count() == rows.count()
+    assert len(score.score_all({1: model}, rows, ["vec_id"]).collect()) == rows.count()
