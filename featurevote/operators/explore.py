@@ -101,4 +101,8 @@ def top_importances(importances: DataFrame, n: int = TOP_IMPORTANCES) -> DataFra
 
 
 def _positions(df: DataFrame, features: str) -> DataFrame:
-    return df.select(F.posexplode(F.col(features).cast("array<double>")).alias("position", "value"))
+    # Outer, because a plain explode first filters on the array, which computes freshly
+    # extracted features twice.
+    array = F.col(features).cast("array<double>")
+    exploded = df.select(F.posexplode_outer(array).alias("position", "value"))
+    return exploded.where("position is not null")

@@ -31,12 +31,13 @@ def score_counts(
 ) -> DataFrame:
     """(by..., score, pos, neg): how many rows of either class share each score.
 
-    ``weight`` names a count column where the input rows stand for several rows each.
+    A missing score ranks lowest, as minus infinity. ``weight`` names a count column where the
+    input rows stand for several rows each.
     """
     return (
         df.select(
             *by,
-            F.col(score).cast("double").alias("score"),
+            F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score"),
             (F.col(label) == F.lit(positive)).cast("bigint").alias("is_pos"),
             (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("n"),
         )

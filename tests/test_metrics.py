@@ -69,6 +69,17 @@ def test_auc_does_not_depend_on_the_ranges(scored, ranges):
     assert ranking.auc_from(cumulative).first()["auc_roc"] == pytest.approx(want, abs=1e-12)
 
 
+def test_missing_scores_rank_lowest(scored):
+    holes = scored.withColumn("score", F.when(F.col("key") % 10 != 0, F.col("score")))
+    filled = holes.fillna(-1.0, subset=["score"])
+    want = ranking.auc_roc(filled).first()["auc_roc"]
+    assert ranking.auc_roc(holes).first()["auc_roc"] == pytest.approx(want, abs=1e-12)
+    assert ranking.auc_roc(holes, few_scores=True).first()["auc_roc"] == pytest.approx(want, abs=1e-12)
+    last = ranking.ranked(holes).orderBy(F.desc("tp"), F.desc("fp")).first()
+    assert (last["tp"], last["fp"]) == (last["n_pos"], last["n_neg"])
+    assert last["n_pos"] + last["n_neg"] == 6000
+
+
 def test_auc_per_model(scored):
     both = scored.withColumn("model", F.lit("up")).unionByName(
         scored.withColumn("model", F.lit("down")).withColumn("score", -F.col("score"))

@@ -50,6 +50,22 @@ def test_vote_does_not_depend_on_row_order_or_partitions(spark):
     assert run(1) == run(4) == run(7)
 
 
+def test_hot_key_is_reduced_before_the_shuffle(spark):
+    """A key that fills a third of a vote table still gives one row."""
+    tables = []
+    for m in range(1, 4):
+        rows = spark.range(3000).select(
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), "id")).alias("path"),
+            F.lit(1).alias("label"),
+            F.lit(float(m % 2)).alias("prediction"),
+        )
+        tables.append((m, rows))
+    wide = O.align_votes(tables, ["path", "label"])
+    assert wide.count() == 2001
+    assert wide.where("path = 'hot'").select("pred_1", "pred_2", "pred_3").first() == (1.0, 0.0, 1.0)
+    assert "partial_max" in wide._jdf.queryExecution().executedPlan().toString()
+
+
 def test_even_split_counts_as_one(spark):
     names = [f"pred_{m}" for m in range(1, 11)]
     df = spark.createDataFrame(
