@@ -7,8 +7,9 @@ sets are about as likely as their Jaccard similarity, so bands of registers find
 
 1. Documents with the same set form a class; only classes are compared.
 2. Classes that agree in a whole band share a bucket. They are not compared pair by pair: first each
-   with one pivot of its bucket in a few bands, then, for what is still apart, with a pivot in every
-   band, and last, exactly, with every class of the bucket that is not yet in the same component.
+   is compared with one pivot of its bucket, in a few bands. What is then still apart although it shares
+   a bucket is compared exactly: each class with all members of the larger component, block by block,
+   so that rows are made for members and links only, not for pairs.
 3. The joint likelihood of the registers rules out pairs far below the threshold; all others are
    confirmed by counting the intersection of the full sets.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField
 
-from featurevote.llm.common import map_texts, written
+from featurevote.llm.common import map_texts, text_key, written
 from featurevote.llm.components import connected_components
 
 REGISTERS = 256
@@ -33,7 +34,8 @@ BAND_ROWS = 6  # 42 bands: of pairs at similarity 0.8 they miss about three in a
 BASE = 1.001
 RATE = 20.0
 TOP = (1 << 16) - 1
-FIRST_BANDS = 4
+FIRST_BANDS = 16
+BLOCK = 512  # members compared at once
 SIGMAS = 6.0  # how far below the threshold an estimate may be before a pair is ruled out
 
 _U = np.uint64
@@ -113,7 +115,7 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
         return more * np.log(p + tiny) + less * np.log(q + tiny) + same * np.log(np.maximum(1 - p - q, 0) + tiny)
 
     low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
-    for _ in range(45):
+    for _ in range(25):
         left, right = low + (high - low) / 3, high - (high - low) / 3
         better = likelihood(left) < likelihood(right)
         low, high = np.where(better, left, low), np.where(better, high, right)
@@ -121,18 +123,16 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
 
 
 def sketch(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, set_id, bands, registers, shingles) of each document, without a shuffle."""
+    """(id, n_shingles, set_id, bands) of each document, without a shuffle."""
 
     def start():
         def work(texts):
             sets = [shingle_set(t, shingle_words) for t in texts]
-            found = [registers_of(s) for s in sets]
+            bands = [band_keys(registers_of(s)) if len(s) else [] for s in sets]
             return [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()),
-                pa.array([band_keys(r) if len(s) else [] for r, s in zip(found, sets, strict=True)], pa.list_(pa.int64())),
-                pa.array([r.tobytes() for r in found], pa.binary()),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.array(bands, pa.list_(pa.int64())),
             ]
 
         return work
@@ -141,18 +141,47 @@ def sketch(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -> D
         StructField("n_shingles", LongType()),
         StructField("set_id", StringType()),
         StructField("bands", ArrayType(LongType())),
+    ]
+    return map_texts(docs, id_col, text_col, fields, start)
+
+
+def full_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """(cls, n_shingles, registers, shingles) of the classes (cls, text)."""
+
+    def start():
+        def work(texts):
+            sets = [shingle_set(t, shingle_words) for t in texts]
+            return [
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([registers_of(s).tobytes() for s in sets], pa.binary()),
+                pa.array([s.tobytes() for s in sets], pa.binary()),
+            ]
+
+        return work
+
+    fields = [
+        StructField("n_shingles", LongType()),
         StructField("registers", BinaryType()),
         StructField("shingles", BinaryType()),
     ]
-    return map_texts(docs, id_col, text_col, fields, start)
+    return map_texts(texts, "cls", "text", fields, start)
+
 
+def _least_estimate(percent: int) -> float:
+    """Below this estimate a pair is far too unlikely to reach the threshold."""
+    share = percent / 100
+    return share - SIGMAS * math.sqrt(share * (1 - share) / REGISTERS)
 
-def _confirm(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets have 100 * intersection >= percent * union."""
-    least = percent / 100 - SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
-    side = sketches.select("row", "n_shingles", "registers")
-    sized = pairs.join(side.select(F.col("row").alias("a"), F.col("n_shingles").alias("n_a"), F.col("registers").alias("r_a")), "a")
-    sized = sized.join(side.select(F.col("row").alias("b"), F.col("n_shingles").alias("n_b"), F.col("registers").alias("r_b")), "b")
+    least = _least_estimate(percent)
+    sized = pairs
+    for side in "ab":
+        own = sets.select(
+            F.col("cls").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("registers").alias(f"r_{side}")
+        )
+        sized = sized.join(own, side)
     sized = sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,22 +193,91 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 yield batch.select([0, 1]).filter(keep)
 
     likely_pairs = sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(likely, "a long, b long")
-    sets = sketches.select("row", "shingles")
-    full = likely_pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("s_a")), "a")
-    full = full.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("s_b")), "b")
+    full = likely_pairs
+    for side in "ab":
+        full = full.join(sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"s_{side}")), side)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for s_a, s_b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(s_a.as_buffer(), _U), np.frombuffer(s_b.as_buffer(), _U)
-                both = len(a) + len(b) - len(np.union1d(a, b))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            keep = [_similar(a.as_buffer(), b.as_buffer(), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return written(full.select("a", "b", "s_a", "s_b").mapInArrow(exact, "a long, b long"))
 
 
+def _similar(s_a: bytes, s_b: bytes, percent: int) -> bool:
+    a, b = np.frombuffer(s_a, _U), np.frombuffer(s_b, _U)
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _confirm_rest(apart: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share buckets: for each class and each larger component
+    that it meets in a bucket, one link to every block of its members in which there is any."""
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    meeting = apart.select("key", "root").distinct().join(sizes, "root", "left")
+    meeting = meeting.select("key", F.struct(F.coalesce("size", F.lit(1)).alias("size"), "root").alias("target"))
+    own = apart.join(sizes, "root", "left").select(
+        "key", "cls", F.struct(F.coalesce("size", F.lit(1)).alias("size"), "root").alias("own")
+    )
+    asking = own.join(meeting, "key").where("own < target").select("cls", F.col("target.root").alias("target")).distinct()
+    asking = written(asking)
+    # Members are held in packs of about BLOCK: a large component in several, small ones together.
+    n_packs = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() // BLOCK))
+    targets = asking.select("target").distinct().join(sizes.withColumnRenamed("root", "target"), "target", "left")
+    targets = targets.select("target", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    payload = ["cls", "n_shingles", "registers", "shingles"]
+
+    def pack(part):
+        return F.pmod(F.xxhash64("target", part), F.lit(n_packs)).cast("int").alias("pack")
+
+    x = asking.join(targets, "target").select("cls", "target", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    x = x.select("cls", "target", pack(F.col("part"))).groupBy("cls", "pack").agg(F.collect_set("target").alias("targets"))
+    x = written(x)
+    blocks = x.groupBy("pack").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")
+    x = x.join(blocks, "pack").select("pack", block, "cls", "targets").join(sets, "cls").select("pack", "block", "targets", *payload)
+    # A class without a component is its own.
+    members = sets.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    members = members.withColumn("target", F.coalesce("root", "cls")).join(targets, "target")
+    members = members.select("target", pack(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")), *payload)
+    y = members.join(blocks, "pack").select(
+        F.col("pack").alias("y_pack"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y_block"),
+        F.col("target").alias("y_target"),
+        *[F.col(c).alias(f"y_{c}") for c in payload],
+    )
+    least = _least_estimate(percent)
+
+    def compare(asked, held):
+        import pandas as pd
+
+        found = []
+        if len(held):
+            registers = np.frombuffer(b"".join(held["y_registers"]), "<u2").reshape(-1, REGISTERS)
+            sizes, targets = held["y_n_shingles"].to_numpy(np.float64), held["y_target"].to_numpy()
+            shingles, names = held["y_shingles"].tolist(), held["y_cls"].tolist()
+            for cls, wanted, n, own, raw in zip(*(asked[c] for c in ["cls", "targets", *payload[1:]]), strict=True):
+                near = np.flatnonzero(np.isin(targets, wanted) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)))
+                mine = np.frombuffer(own, "<u2")[None, :]
+                # Equal registers alone estimate the similarity almost as well.
+                near = near[(registers[near] == mine).mean(axis=1) >= least - 0.1]
+                theirs = registers[near]
+                likely = joint_similarity(np.broadcast_to(mine, theirs.shape), theirs, np.full(len(near), float(n)), sizes[near])
+                linked = set()
+                for at in np.argsort(-likely, kind="stable"):
+                    if likely[at] < least:
+                        break
+                    place = near[at]
+                    if targets[place] not in linked and _similar(raw, shingles[place], percent):
+                        linked.add(targets[place])
+                        found.append((cls, names[place]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    by_pack = x.groupBy("pack", "block").cogroup(y.groupBy("y_pack", "y_block"))
+    return by_pack.applyInPandas(compare, "a long, b long")
+
+
 def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, cls, root) of the buckets that still hold several components."""
     rooted = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
@@ -208,47 +306,37 @@ def near_duplicates(
     Links below the band limit do not exist by construction: of pairs just at 0.8 similarity about
     three in a million share no band. Everything else is exact.
     """
-    sketches = written(sketch(docs, shingle_words, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    slim = sketches.select(F.col(id_col).alias("id"), "row", "n_shingles", "set_id")
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_key(text_col).alias("text_key")).alias("doc"), F.col(text_col).alias("text"))
+    sketches = sketch(keyed, shingle_words, "doc", "text").withColumn("row", F.monotonically_increasing_id())
+    sketches = written(sketches)
     # An empty set is a class of its own in each row.
     set_key = F.when(F.col("n_shingles") > 0, F.col("set_id")).otherwise(F.col("row").cast("string"))
+    slim = sketches.select("doc", "row", "n_shingles", "set_id", set_key.alias("set_key"))
     classes = written(
-        slim.groupBy(set_key.alias("set_key")).agg(F.min("row").alias("cls"), F.min("id").alias("first_id"), F.max("n_shingles").alias("n"))
+        slim.groupBy("set_key").agg(
+            F.min("row").alias("cls"), F.min("doc.id").alias("first_id"), F.min(F.struct("row", "doc")).alias("one")
+        )
     )
 
-    representatives = sketches.join(classes.where("n > 0").select(F.col("cls").alias("row")), "row", "left_semi")
+    representatives = sketches.join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
     banded = representatives.select(F.posexplode("bands").alias("band", "key"), F.col("row").alias("cls"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     members = written(banded.join(shared, "key").select("key", "band", "cls"))
 
-    def pivots(rows: DataFrame, salt: int) -> DataFrame:
-        """Each class with one class of its bucket, drawn anew for every bucket."""
-        drawn = F.struct(F.xxhash64("cls", "key", F.lit(salt)).alias("draw"), "cls")
-        pivot = rows.groupBy("key").agg(F.min(drawn).alias("pivot")).select("key", F.col("pivot.cls").alias("pivot"))
-        return rows.join(pivot, "key")
-
-    def pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-        return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
+    # Full sets only of the classes that share a bucket, each from one of its documents.
+    wanted = classes.join(members.select("cls").distinct(), "cls").select("cls", F.col("one.doc").alias("doc"))
+    sets = written(full_sets(keyed.join(wanted, "doc").select("cls", "text").dropDuplicates(["cls"]), shingle_words))
 
-    links = _confirm(pairs(pivots(members.where(F.col("band") < FIRST_BANDS), 1), "cls", "pivot"), sketches, percent)
+    some = members.where(F.col("band") < FIRST_BANDS)
+    # Another pivot in every bucket, so that one odd class does not stand for many.
+    drawn = F.min(F.struct(F.xxhash64("cls", "key").alias("draw"), "cls")).alias("pivot")
+    pivots = some.groupBy("key").agg(drawn).select("key", F.col("pivot.cls").alias("pivot"))
+    pairs = some.join(pivots, "key").select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b"))
+    links = _confirm(pairs.where("a <> b").distinct(), sets, percent)
     roots = written(connected_components(links))
 
-    apart = written(_open_members(members, roots))
-    leads = apart.select(F.col("cls").alias("pivot"), F.col("root").alias("pivot_root")).distinct()
-    second = pivots(apart, 2).join(leads, "pivot").where("root <> pivot_root")
-    more = _confirm(pairs(second, "cls", "pivot"), sketches, percent)
-    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    links = stars.union(more)
-    roots = written(connected_components(links))
-
-    # The rest, exactly: what is outside of a bucket's largest component meets every other component.
-    rest = written(_open_members(members, roots))
-    sizes = rest.groupBy("key", "root").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-    marked = rest.join(largest, "key")
-    minor = marked.where("root <> main").select("key", F.col("cls").alias("x"), F.col("root").alias("x_root"))
-    crossed = minor.join(marked, "key").where("root <> x_root AND (root = main OR cls < x)")
-    last = _confirm(pairs(crossed, "x", "cls"), sketches, percent)
+    apart = _open_members(members, roots)
+    last = _confirm_rest(apart, roots, sets, percent)
     stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = connected_components(stars.union(last))
 
@@ -256,14 +344,10 @@ def near_duplicates(
     rooted = rooted.select("set_key", "first_id", F.coalesce("root", "cls").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = rooted.join(first, "root").select("set_key", "component_id")
-    return (
-        slim.withColumn("set_key", set_key)
-        .join(found, "set_key")
-        .select(
-            F.col("id").alias(id_col),
-            "n_shingles",
-            "component_id",
-            F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
-            "set_id",
-        )
+    return slim.join(found, "set_key").select(
+        F.col("doc.id").alias(id_col),
+        "n_shingles",
+        "component_id",
+        F.col("doc.id").eqNullSafe(F.col("component_id")).alias("kept"),
+        "set_id",
     )
