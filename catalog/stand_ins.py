@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import table
 from featurevote.functions.vectors import linear_score
-from featurevote.operators.batches import spread_scan, with_batch, with_split
+from featurevote.operators.batches import with_batch, with_split
 from featurevote.operators.sinks import FEATURE_LAYOUT, shared_folder, write_table
 from featurevote.operators.votes import majority_vote
 from featurevote.plans.score import score_linear
@@ -92,7 +92,7 @@ def feature_store(spark: SparkSession, sf_dir: str) -> str:
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, content): the whole text as bytes."""
     documents = table(spark, sf_dir, "documents")
-    return spread_scan(documents.select("doc_id", F.col("text").cast("binary").alias("content")))
+    return documents.select("doc_id", F.col("text").cast("binary").alias("content"))
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +100,9 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     lengths = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     joined = labels.join(lengths, on="doc_id")
-    score = F.least(F.col("n_chars"), F.lit(3000)) / F.lit(3000.0)
+    score = F.col("n_chars").cast("double")
     return joined.select(
-        "doc_id", "label", score.alias("score"), (score > 0.5).cast("int").alias("prediction")
+        "doc_id", "label", score.alias("score"), (score > 1500).cast("int").alias("prediction")
     )
 
 
@@ -199,8 +199,8 @@ bytes AS (
   FROM (SELECT doc_id, unnest(pairs) AS pair, generate_subscripts(pairs, 1) AS pos FROM hexes))"""
 
 SCORED_DOCUMENTS = """scored_documents AS (
-  SELECT l.doc_id, l.quality AS label, least(d.n_chars, 3000) / 3000.0::DOUBLE AS score,
-         CASE WHEN least(d.n_chars, 3000) / 3000.0::DOUBLE > 0.5 THEN 1 ELSE 0 END AS prediction
+  SELECT l.doc_id, l.quality AS label, d.n_chars::DOUBLE AS score,
+         CASE WHEN d.n_chars > 1500 THEN 1 ELSE 0 END AS prediction
   FROM labels l JOIN documents d USING (doc_id))"""
 
 ORDER_VOTES = """o AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders),

@@ -34,16 +34,6 @@ def random_batches(
     return df.randomSplit(list(weights), seed)
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """Shuffle a scan over all cores if it has fewer partitions than there are cores.
-
-    For heavy work on small inputs (a few files, or files of one row group). A large input
-    has more partitions than cores and passes through without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def batch_sizes(df: DataFrame, *by: str) -> DataFrame:
     """Rows per batch (or per the given columns) in one pass."""
     return df.groupBy(*(by or ("batch",))).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -13,6 +13,7 @@ scores rows anew.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -50,12 +51,11 @@ def score_counts(
 
 
 def score_bounds(df: DataFrame, score: str = "score", ranges: int | None = None) -> list[float]:
-    """Increasing scores that cut the rows into ``ranges`` parts of about the same size."""
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if ranges < 2:
-        return []
+    """Increasing finite scores that cut the rows into ``ranges`` parts of about the same size."""
+    ranges = max(2, ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / ranges for i in range(1, ranges)]
-    return sorted(set(df.approxQuantile(score, shares, 0.1 / ranges)))
+    found = df.approxQuantile(score, shares, max(0.1 / ranges, 1e-4))
+    return sorted({b for b in found if math.isfinite(b)})
 
 
 def cumulative_counts(
@@ -64,21 +64,12 @@ def cumulative_counts(
     """Add running and total class counts to (by..., score, pos, neg).
 
     ``tp`` and ``fp`` count the rows of either class with this score or a higher one,
-    ``n_pos`` and ``n_neg`` all of them. Without ``bounds`` each group is ordered by one
-    task, which suits scores of few different values, such as votes.
+    ``n_pos`` and ``n_neg`` all of them. Any finite ``bounds`` give the same result; without
+    them scores are cut at zero, as for a column that holds only missing or infinite ones.
+    NaN ranks highest, minus infinity lowest.
     """
     by = list(by)
-    if not bounds:
-        group = W.partitionBy(*by)
-        running = group.orderBy(F.desc("score"))
-        return counts.withColumns(
-            {
-                "tp": F.sum("pos").over(running),
-                "fp": F.sum("neg").over(running),
-                "n_pos": F.sum("pos").over(group),
-                "n_neg": F.sum("neg").over(group),
-            }
-        )
+    bounds = list(bounds) or [0.0]
     splits = [float("-inf"), *bounds, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="score", outputCol="_range", handleInvalid="keep")
     ranged = cut.transform(counts)
@@ -120,8 +111,9 @@ def ranked(
     weight: str | None = None,
     few_scores: bool = False,
 ) -> DataFrame:
-    """Cumulative counts of a scored table; ``few_scores`` skips the cutting into ranges."""
-    bounds = [] if few_scores else score_bounds(df, score)
+    """Cumulative counts of a scored table; ``few_scores`` spares the pass for cut points, as for
+    vote shares between 0 and 1."""
+    bounds = [0.5] if few_scores else score_bounds(df, score)
     return cumulative_counts(score_counts(df, score, label, positive, by, weight), bounds, by)
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from featurevote.functions.labels import key_hash, label_from_path
@@ -64,12 +66,32 @@ def write_verified(
     group is short.
     """
     batches = write_batches_verified(df, path, partition_by)
-    totals = batches.agg(F.sum("n_input").alias("n_written"), F.sum("n_saved").alias("total_saved"))
-    return (
-        batches.select(*partition_by, "n_saved")
-        .withColumns({c: totals.select(c).scalar() for c in ("n_written", "total_saved")})
-        .withColumn("ok", F.col("n_written") == F.col("total_saved"))
-    )
+    # One row per group.
+    everything = W.partitionBy()
+    return batches.select(
+        *partition_by,
+        "n_saved",
+        F.sum("n_input").over(everything).alias("n_written"),
+        F.sum("n_saved").over(everything).alias("total_saved"),
+    ).withColumn("ok", F.col("n_written") == F.col("total_saved"))
+
+
+def _as_stored(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """Partition values as they read back: an empty string is stored as a missing one."""
+    texts = {name for name, kind in df.dtypes if kind == "string"}
+    return [F.nullif(F.col(k), F.lit("")).alias(k) if k in texts else F.col(k) for k in keys]
+
+
+def _side_by_side(sides: Sequence[tuple[DataFrame, dict[str, Column]]], keys: Sequence[str]) -> DataFrame:
+    """The aggregates of several tables by common groups, 0 where a table lacks the group. Missing
+    keys are a group like others, which a join would not match."""
+    names = [name for _, aggregates in sides for name in aggregates]
+    rows = []
+    for df, aggregates in sides:
+        own = df.groupBy(*_as_stored(df, keys)).agg(*[a.alias(n) for n, a in aggregates.items()])
+        rows.append(own.withColumns({n: F.lit(0).cast("bigint") for n in names if n not in aggregates}))
+    both = reduce(lambda a, b: a.unionByName(b), rows)
+    return both.groupBy(*keys).agg(*[F.sum(n).cast("bigint").alias(n) for n in names])
 
 
 def write_batches_verified(
@@ -87,20 +109,10 @@ def write_batches_verified(
     """
     write_table(df, path, partition_by)
     keys = list(partition_by)
-    wanted = (df if source is None else source).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_input"))
-    saved = (
-        df.sparkSession.read.schema(df.schema)
-        .parquet(path)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_saved"))
-    )
-    zero = F.lit(0).cast("bigint")
-    return wanted.join(saved, on=keys, how="full_outer").select(
-        *keys,
-        F.coalesce("n_input", zero).alias("n_input"),
-        F.coalesce("n_saved", zero).alias("n_saved"),
-        (F.coalesce("n_input", zero) == F.coalesce("n_saved", zero)).alias("ok"),
-    )
+    saved = df.sparkSession.read.schema(df.schema).parquet(path)
+    n = F.count(F.lit(1))
+    counted = _side_by_side([(df if source is None else source, {"n_input": n}), (saved, {"n_saved": n})], keys)
+    return counted.withColumn("ok", F.col("n_input") == F.col("n_saved"))
 
 
 def save_model(model, path: str) -> None:
@@ -165,17 +177,12 @@ def verify_ingest(
 ) -> DataFrame:
     """Files and bytes per group on both sides, and whether they agree; no group is left out."""
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias(f"{name}_files"),
-            F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias(f"{name}_bytes"),
-        )
+    def measures(name: str) -> dict[str, Column]:
+        total = F.coalesce(F.sum(size), F.lit(0)).cast("bigint")
+        return {f"{name}_files": F.count(F.lit(1)), f"{name}_bytes": total}
 
-    measures = [f"{s}_{m}" for s in ("source", "target") for m in ("files", "bytes")]
-    joined = side(source, "source").join(side(target, "target"), on=list(keys), how="full_outer")
-    filled = joined.select(
-        *keys, *[F.coalesce(F.col(m), F.lit(0).cast("bigint")).alias(m) for m in measures]
-    )
+    filled = _side_by_side([(source, measures("source")), (target, measures("target"))], keys)
+    filled = filled.select(*keys, "source_files", "source_bytes", "target_files", "target_bytes")
     return filled.withColumn(
         "complete",
         (F.col("source_files") == F.col("target_files"))

@@ -36,20 +36,28 @@ def align_votes(
 ) -> DataFrame:
     """Wide votes from one table per model, keeping keys that every model voted on.
 
-    Same rows as folding inner joins over the tables when a key occurs once in each, but
-    one shuffle instead of one per table, reduced on the map side. Put the label among
-    ``keys`` to carry it along.
+    Same rows as folding inner joins over the tables, but one shuffle instead of one per table,
+    reduced on the map side. Rows with a missing key are dropped, as a join drops them. Repeated equal
+    votes of a model on a key count once, differing ones are an error. Put the label among ``keys``
+    to carry it along.
     """
     tagged = [
         df.select(*keys, F.lit(str(m)).alias("model_id"), F.col(prediction).cast("double").alias("p"))
         for m, df in votes
     ]
+    stacked = reduce(lambda a, b: a.unionByName(b), tagged)
+    stacked = stacked.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
     names = [vote_name(m) for m, _ in votes]
-    per_model = [
-        F.max(F.when(F.col("model_id") == str(m), F.col("p"))).alias(vote_name(m)) for m, _ in votes
-    ]
-    wide = reduce(lambda a, b: a.unionByName(b), tagged).groupBy(*keys).agg(*per_model)
-    return wide.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))
+    per_model = [F.max(F.when(F.col("model_id") == str(m), F.col("p"))).alias(vote_name(m)) for m, _ in votes]
+    own = [F.when(F.col("model_id") == str(m), F.col("p")) for m, _ in votes]
+    voted = [F.count_if(F.col("model_id") == str(m)).alias(f"_n_{vote_name(m)}") for m, _ in votes]
+    differ = [F.coalesce(F.min(p) != F.max(p), F.lit(False)).alias(f"_differ_{n}") for p, n in zip(own, names, strict=True)]
+    wide = stacked.groupBy(*keys).agg(*per_model, *voted, *differ)
+    clash = reduce(lambda a, b: a | b, [F.col(f"_differ_{n}") for n in names])
+    every = reduce(lambda a, b: a & b, [F.col(f"_n_{n}") > 0 for n in names])
+    error = F.raise_error(F.lit("a key has differing votes of one model"))
+    once = F.when(clash, error.cast("boolean")).otherwise(every)
+    return wide.where(once).select(*keys, *names)
 
 
 def majority_vote(wide: DataFrame, model_ids: Sequence[int | str]) -> DataFrame:

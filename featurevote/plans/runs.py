@@ -112,7 +112,7 @@ def train_on_all(
     measured = model_metrics(reduce(lambda a, b: a.unionByName(b), parts)).collect()
     names = ("accuracy", "precision", "recall", "f1_score", "auc_roc")
     rows_out = [
-        (r["model"], *[float(r[n]) for n in names], float(seconds[r["model"]]), n_training)
+        (r["model"], *[None if r[n] is None else float(r[n]) for n in names], float(seconds[r["model"]]), n_training)
         for r in measured
     ]
     table = metrics_table(spark, rows_out)

@@ -1,5 +1,6 @@
 """Alignment and majority votes: ties, abstentions, independence from layout."""
 
+import pytest
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -98,3 +99,14 @@ def test_member_accuracy_forms_agree(spark):
         for m in range(1, 4):
             want[str(m)] += (r[1 + m] == r[1]) / len(rows)
     assert all(abs(want[k] - v) < 1e-12 for k, v in from_long.items())
+
+
+def test_alignment_drops_missing_keys_and_refuses_differing_votes(spark):
+    a = spark.createDataFrame([("x", 1, 1.0), (None, 1, 0.0), ("z", 0, 1.0)], "path string, label int, prediction double")
+    b = spark.createDataFrame([("x", 1, None), (None, 1, 1.0)], "path string, label int, prediction double")
+    rows = O.align_votes([(1, a), (2, b)], ["path", "label"]).collect()
+    assert [tuple(r) for r in rows] == [("x", 1, 1.0, None)]
+    assert O.align_votes([(1, a.union(a)), (2, b)], ["path", "label"]).count() == 1
+    other = a.selectExpr("path", "label", "1 - prediction AS prediction")
+    with pytest.raises(Exception, match="differing votes"):
+        O.align_votes([(1, a.union(other)), (2, b)], ["path", "label"]).collect()
