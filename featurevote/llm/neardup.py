@@ -8,8 +8,8 @@ sets are about as likely as their Jaccard similarity, so bands of registers find
 1. Documents with the same set form a class; only classes are compared.
 2. Classes that agree in a whole band share a bucket. They are not compared pair by pair: first each
    is compared with one pivot of its bucket, in a few bands. What is then still apart although it shares
-   a bucket is compared exactly: each class with all members of the larger component, block by block,
-   so that rows are made for members and links only, not for pairs.
+   a bucket is compared exactly, pack by pack: a class asks the packs in which its buckets lie, so that
+   rows are made for classes and packs, not for pairs.
 3. The joint likelihood of the registers rules out pairs far below the threshold; all others are
    confirmed by counting the intersection of the full sets.
 """
@@ -35,7 +35,7 @@ BASE = 1.001
 RATE = 20.0
 TOP = (1 << 16) - 1
 FIRST_BANDS = 16
-BLOCK = 512  # members compared at once
+BLOCK = 1024  # members compared at once
 SIGMAS = 6.0  # how far below the threshold an estimate may be before a pair is ruled out
 
 _U = np.uint64
@@ -211,40 +211,39 @@ def _similar(s_a: bytes, s_b: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _packs(apart: DataFrame) -> DataFrame:
+    """(cls, own, pack) of the classes in open buckets, about BLOCK of them in a pack. A class takes the
+    name of the largest bucket around it, and classes of one name lie in few packs, so that a bucket,
+    however many components it holds, meets few packs."""
+    named = apart.groupBy("key").agg(F.count("*").alias("n")).select("key", F.struct("n", "key").alias("name"))
+    around = apart.join(named, "key").groupBy("cls").agg(F.max("name").alias("name"))
+    named = apart.join(around, "cls").groupBy("key").agg(F.max("name").alias("name"))
+    around = written(apart.join(named, "key").groupBy("cls").agg(F.max("name.key").alias("name"), F.max("own").alias("own")))
+    n_packs = max(int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-around.count() // BLOCK))
+    parts = around.groupBy("name").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    pack = F.pmod(F.xxhash64("name", F.pmod(F.xxhash64("cls"), F.col("parts"))), F.lit(n_packs)).cast("int")
+    return around.join(parts, "name").select("cls", "own", pack.alias("pack"))
+
+
 def _confirm_rest(apart: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components that share buckets: for each class and each larger component
-    that it meets in a bucket, one link to every block of its members in which there is any."""
+    """Links (a, b) between components that share buckets. Each class asks the packs that hold, in one
+    of its buckets, a class of a larger component (on a tie, of a larger root); within a pack it is
+    compared with all such classes, and gives at most one link to each component."""
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    meeting = apart.select("key", "root").distinct().join(sizes, "root", "left")
-    meeting = meeting.select("key", F.struct(F.coalesce("size", F.lit(1)).alias("size"), "root").alias("target"))
-    own = apart.join(sizes, "root", "left").select(
-        "key", "cls", F.struct(F.coalesce("size", F.lit(1)).alias("size"), "root").alias("own")
-    )
-    asking = own.join(meeting, "key").where("own < target").select("cls", F.col("target.root").alias("target")).distinct()
-    asking = written(asking)
-    # Members are held in packs of about BLOCK: a large component in several, small ones together.
-    n_packs = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() // BLOCK))
-    targets = asking.select("target").distinct().join(sizes.withColumnRenamed("root", "target"), "target", "left")
-    targets = targets.select("target", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    payload = ["cls", "n_shingles", "registers", "shingles"]
-
-    def pack(part):
-        return F.pmod(F.xxhash64("target", part), F.lit(n_packs)).cast("int").alias("pack")
-
-    x = asking.join(targets, "target").select("cls", "target", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    x = x.select("cls", "target", pack(F.col("part"))).groupBy("cls", "pack").agg(F.collect_set("target").alias("targets"))
-    x = written(x)
-    blocks = x.groupBy("pack").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.struct(F.coalesce("size", F.lit(1)).alias("size"), "root").alias("own")
+    apart = written(apart.join(sizes, "root", "left").select("key", "cls", own))
+    packs = written(_packs(apart))
+    met = apart.join(packs.select("cls", "pack"), "cls").groupBy("key", "pack").agg(F.max("own").alias("top"))
+    asking = written(apart.join(met, "key").where("own < top").select("cls", "own", "pack").distinct())
+    blocks = asking.groupBy("pack").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    payload = ["cls", "size", "root", "n_shingles", "registers", "shingles"]
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")
-    x = x.join(blocks, "pack").select("pack", block, "cls", "targets").join(sets, "cls").select("pack", "block", "targets", *payload)
-    # A class without a component is its own.
-    members = sets.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-    members = members.withColumn("target", F.coalesce("root", "cls")).join(targets, "target")
-    members = members.select("target", pack(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")), *payload)
-    y = members.join(blocks, "pack").select(
+    x = asking.join(blocks, "pack").select("pack", block, "cls", "own.size", "own.root").join(sets, "cls")
+    x = x.select("pack", "block", *payload)
+    y = packs.join(blocks, "pack").select("pack", "blocks", "cls", "own.size", "own.root").join(sets, "cls")
+    y = y.select(
         F.col("pack").alias("y_pack"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y_block"),
-        F.col("target").alias("y_target"),
         *[F.col(c).alias(f"y_{c}") for c in payload],
     )
     least = _least_estimate(percent)
@@ -253,24 +252,26 @@ def _confirm_rest(apart: DataFrame, roots: DataFrame, sets: DataFrame, percent:
         import pandas as pd
 
         found = []
-        if len(held):
+        if len(asked) and len(held):
             registers = np.frombuffer(b"".join(held["y_registers"]), "<u2").reshape(-1, REGISTERS)
-            sizes, targets = held["y_n_shingles"].to_numpy(np.float64), held["y_target"].to_numpy()
+            counts, sizes, roots = (held[f"y_{c}"].to_numpy() for c in ("n_shingles", "size", "root"))
             shingles, names = held["y_shingles"].tolist(), held["y_cls"].tolist()
-            for cls, wanted, n, own, raw in zip(*(asked[c] for c in ["cls", "targets", *payload[1:]]), strict=True):
-                near = np.flatnonzero(np.isin(targets, wanted) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)))
+            for cls, size, root, n, own, raw in zip(*(asked[c] for c in payload), strict=True):
+                larger = (sizes > size) | ((sizes == size) & (roots > root))
+                near = np.flatnonzero(larger & (100 * np.minimum(n, counts) >= percent * np.maximum(n, counts)))
                 mine = np.frombuffer(own, "<u2")[None, :]
                 # Equal registers alone estimate the similarity almost as well.
                 near = near[(registers[near] == mine).mean(axis=1) >= least - 0.1]
                 theirs = registers[near]
-                likely = joint_similarity(np.broadcast_to(mine, theirs.shape), theirs, np.full(len(near), float(n)), sizes[near])
+                n_theirs = counts[near].astype(np.float64)
+                likely = joint_similarity(np.broadcast_to(mine, theirs.shape), theirs, np.full(len(near), float(n)), n_theirs)
                 linked = set()
                 for at in np.argsort(-likely, kind="stable"):
                     if likely[at] < least:
                         break
                     place = near[at]
-                    if targets[place] not in linked and _similar(raw, shingles[place], percent):
-                        linked.add(targets[place])
+                    if roots[place] not in linked and _similar(raw, shingles[place], percent):
+                        linked.add(roots[place])
                         found.append((cls, names[place]))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
