@@ -9,6 +9,7 @@ by expectation-maximisation on word counts, each round one Spark job.
 from __future__ import annotations
 
 import math
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ ROUNDS = 3
 SMOOTHING = 0.05
 UNKNOWN = 1e-9
 MEMO_WORDS = 500_000
+BLOCK_CHARS = 1 << 20
+# Words of one length that take the forward pass together; longer or fewer ones take it one by one.
+TOGETHER, FEW_WORDS, LONG_WORD = 4096, 32, 64
 WORD_START = "▁"
 
 
@@ -74,6 +78,10 @@ class LanguageModel:
     def __init__(self, languages: list[str], rows: dict[str, tuple[float, ...]]):
         self.languages, self.rows = languages, rows
         self.longest = max(map(len, rows), default=1)
+        # Row 0 stands for no piece, row 1 for an unknown character.
+        count = len(languages)
+        self.table = np.array([[0.0] * count, [UNKNOWN] * count, *rows.values()])
+        self.place = {p: k for k, p in enumerate(rows, 2)}
 
     def word(self, word: str) -> list[float]:
         """Log probability of a word in each language."""
@@ -95,40 +103,85 @@ class LanguageModel:
                     sums[b] = [x * 1e120 for x in sums[b]]
         return [math.log(max(x, 1e-300)) + offset for x in sums[-1]]
 
+    def words(self, words: list[str]) -> np.ndarray:
+        """The same for many words of one length, all of them one character further at a time."""
+        marked = [WORD_START + w for w in words]
+        size, find = len(marked[0]), self.place.get
+        sums = np.zeros((size + 1, len(words), len(self.languages)))
+        sums[0] = 1.0
+        offset = np.zeros((len(words), 1))
+        for end in range(1, size + 1):
+            total = sums[end]
+            for b in range(max(0, end - self.longest), end):
+                pieces = map(find, [m[b:end] for m in marked], repeat(0 if b < end - 1 else 1))
+                places = np.fromiter(pieces, np.int64, len(words))
+                hit = np.flatnonzero(places)
+                if len(hit):
+                    total[hit] += sums[b][hit] * self.table[places[hit]]
+            low = np.flatnonzero(total.max(axis=1) < 1e-120)
+            if len(low):
+                offset[low] -= 120 * math.log(10)
+                sums[max(0, end + 1 - self.longest) : end + 1, low] *= 1e120
+        return np.log(np.maximum(sums[-1], 1e-300)) + offset
+
 
 class Scorer:
-    """A model with a bounded memo of words."""
+    """A model with a bounded memo of words. Texts are judged in blocks, so that many new words meet the
+    forward pass together."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
         self.places: dict[str, int] = {}
         self.known = np.zeros((1024, len(model.languages)))
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.languages or not any(map(str.isalpha, text)):
-            return "und", 0.0
-        words = text.split()
-        got = list(map(self.places.get, words))
-        if None in got:
-            if len(self.places) + len(words) > MEMO_WORDS:
-                self.places.clear()
-                got = [None] * len(words)
-            for k, place in enumerate(got):
-                if place is None:
-                    got[k] = self._add(words[k])
-        total = self.known[got].sum(axis=0)
-        chances = np.exp(total - total.max())
-        best = int(np.argmax(total))
-        return self.model.languages[best], float(chances[best] / chances.sum())
-
-    def _add(self, word: str) -> int:
-        place = self.places.get(word)
-        if place is None:
-            place = self.places[word] = len(self.places)
-            if place >= len(self.known):
-                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-            self.known[place] = self.model.word(word)
-        return place
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found: list[tuple[str, float]] = []
+        start, held = 0, 0
+        for k, text in enumerate(texts, 1):
+            held += len(text or "")
+            if held >= BLOCK_CHARS or k == len(texts):
+                found += self._judge(texts[start:k])
+                start, held = k, 0
+        return found
+
+    def _judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        languages = self.model.languages
+        split = [t.split() if t and languages and any(map(str.isalpha, t)) else [] for t in texts]
+        words = set(chain.from_iterable(split))
+        new = words.difference(self.places)
+        if len(self.places) + len(new) > MEMO_WORDS:
+            self.places.clear()
+            new = words
+        self._learn(list(new))
+        found = []
+        for text in split:
+            if not text:
+                found.append(("und", 0.0))
+                continue
+            total = self.known[list(map(self.places.__getitem__, text))].sum(axis=0)
+            chances = np.exp(total - total.max())
+            best = int(np.argmax(total))
+            found.append((languages[best], float(chances[best] / chances.sum())))
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        first = len(self.places)
+        room = first + len(words) - len(self.known)
+        if room > 0:
+            more = np.zeros((max(room, len(self.known)), self.known.shape[1]))
+            self.known = np.concatenate([self.known, more])
+        words.sort(key=len)
+        for length, group in groupby(words, key=len):
+            alike = list(group)
+            for k in range(0, len(alike), TOGETHER):
+                part = alike[k : k + TOGETHER]
+                if length > LONG_WORD or len(part) < FEW_WORDS:
+                    rows = list(map(self.model.word, part))
+                else:
+                    rows = self.model.words(part)
+                self.known[first : first + len(part)] = rows
+                self.places.update(zip(part, range(first, first + len(part)), strict=True))
+                first += len(part)
 
 
 def train(
@@ -202,7 +255,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         scorer = Scorer(LanguageModel(*shared.value))
 
         def work(texts):
-            found = list(map(scorer, texts))
+            found = scorer(texts)
             return [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
 
         return work

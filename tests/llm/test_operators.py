@@ -306,3 +306,15 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, sf_dir):
             left = stage(spark, left, sf_dir)
             assert name == "bpe" or left.columns == docs.columns
         assert left.count() == (0 if empty else 3)
+
+
+def test_words_judged_together_have_the_chances_of_words_judged_alone():
+    rows = {"▁": (0.1, 0.2), "▁a": (0.2, 0.1), "a": (0.3, 0.05), "b": (0.15, 0.3), "ab": (0.25, 0.35)}
+    model = langid.LanguageModel(["x", "y"], rows)
+    for length in (1, 2, 7, langid.LONG_WORD):
+        words = ["".join("abc"[(k >> i) % 3] for i in range(length)) for k in range(50)] + ["日" * length]
+        assert np.allclose(model.words(words), [model.word(w) for w in words], rtol=1e-12)
+    scorer = langid.Scorer(model)
+    texts = [None, "", "12", "ab a", " ".join(f"a{'b' * (k % 9)}" for k in range(500)), "a" * 500]
+    assert scorer(texts) == [langid.Scorer(model)([t])[0] for t in texts]
+    assert [f[0] == "und" for f in scorer(texts)] == [True, True, True, False, False, False]
