@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from operator import itemgetter
@@ -20,11 +22,19 @@ SOFT_CUT = re.compile(r" (?=[!-~])")
 HARD_SPACE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() or c < " " or c == "\x7f")
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below the folder that all executors share."""
+    """A new path below the folder that all executors share. Only a local session, whose executors
+    are the driver itself, may leave it unset and gets one temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
