@@ -6,6 +6,7 @@ used an ``Observation``, freshly fitted models can no longer be sent to its exec
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -23,16 +24,21 @@ from featurevote.values import FILE_GLOB
 FEATURE_LAYOUT = ("split", "label", "batch")
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the session's ``spark.checkpoint.dir``, reachable by every executor.
 
-    Only a local-mode session without that setting gets a temporary folder of this machine.
+    Only a local-mode session without that setting gets one temporary folder of this machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        root = _local_root()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
