@@ -1,24 +1,26 @@
 """URL verdicts from given rules and, where none fits, from a tree of path templates per host.
 
-Path segments with digits are variable and become wildcards. Below each node of a host's tree, a
-segment keeps a branch of its own only if it is frequent and the share of blocked URLs among its
-labelled ones differs significantly from that of its siblings together; all other branches are merged
-into the wildcard branch. A template is rejected by the share of blocked among its labelled URLs,
-smoothed towards its host's and, above that, the share over all hosts.
+Path segments with digits are variable and count as one segment. Below each node of a host's tree, a
+labelled segment keeps a branch of its own if its share of blocked URLs differs significantly from
+that of all other URLs of the node together, or if none of those has a label, so that nothing shows
+that the segment does not matter. All other branches are merged into the wildcard branch. A template
+is rejected by the share of blocked among its labelled URLs, smoothed towards what its node holds
+besides it and so on upwards to the share over all hosts. Branches kept apart lend no labels to others.
 """
 
 from __future__ import annotations
 
 import string
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurevote.llm.common import written
 
-DEPTH = 4
-MIN_BRANCH_URLS = 20
+WILDCARD = "*"
+VARIABLE = "#"  # a path holds no such segment, as it ends there
 SIGNIFICANT_Z = 2.576
 PRIOR_WEIGHT = 5.0
 REJECT_SHARE = 0.5
@@ -45,13 +47,27 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
     return rule, verdict
 
 
+def _apart(z: float) -> Column:
+    """Whether a branch (labelled, blocked) differs from the rest of its node (all_ less its own), by the
+    likelihood ratio of two shares against one; it holds for any counts, shares of 0 and 1 included."""
+    n, k, all_n, all_k = (F.col(c).cast("double") for c in ("labelled", "blocked", "all_labelled", "all_blocked"))
+
+    def fit(hits: Column, of: Column) -> Column:
+        def part(x: Column) -> Column:
+            return F.when(x > 0, x * F.log(x / of)).otherwise(0.0)
+
+        return part(hits) + part(of - hits)
+
+    ratio = 2 * (fit(k, n) + fit(all_k - k, all_n - n) - fit(all_k, all_n))
+    alone = (all_n == n) & (F.col("all_n") > F.col("n"))
+    return (n > 0) & (alone | (ratio > z * z))
+
+
 def judge_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]],
     id_col: str = "page_id",
     url_col: str = "url",
-    depth: int = DEPTH,
-    min_branch_urls: int = MIN_BRANCH_URLS,
     z: float = SIGNIFICANT_Z,
     prior_weight: float = PRIOR_WEIGHT,
     reject_share: float = REJECT_SHARE,
@@ -59,55 +75,92 @@ def judge_urls(
     """(id, host, path, rule, verdict, template, block_share) of every URL; verdicts are allow and block.
 
     A rule (text, verdict) fits its host and all subdomains if the path starts with the rule's; the
-    longest rule wins. URLs that a rule decides are the labelled ones. Path segments beyond `depth`
-    belong to one wildcard. A missing URL, or one without ://, has empty host and path and is judged as
-    a host of its own. Without any labelled URL the share is one half, which rejects nothing: a
-    template must be above `reject_share`. Repeated rows are judged alike; other columns are left behind.
+    longest rule wins. URLs that a rule decides are the labelled ones. In a template, * stands for the
+    merged branches and # for variable segments kept apart. A missing URL, or one without ://, has empty
+    host and path and is judged as a host of its own. Without any labelled URL the share is one half,
+    which rejects nothing: a template must be above `reject_share`. Repeated rows are judged alike; other
+    columns are left behind.
+
+    One round of jobs for each level of the trees; a node without labels or with one path only is left
+    as soon as it is reached, so rounds end where the last labelled paths part, not at the longest path.
     """
     url = F.col(url_col).cast("string")
     parsed = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
-    segments = F.transform(
-        F.array_remove(F.split("path", "/"), ""), lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s)
+    shape = F.transform(
+        F.array_remove(F.split("path", "/"), ""),
+        lambda s: F.when(s.rlike("[0-9]") | (s == WILDCARD), F.lit(VARIABLE)).otherwise(s),
     )
-    shape = F.when(F.size(segments) > depth, F.concat(F.slice(segments, 1, depth), F.array(F.lit("**")))).otherwise(segments)
     judged = parsed.select("id", "host", "path", rule.alias("rule"), says.alias("says"), shape.alias("shape"))
 
     label = (F.col("says") == "block").cast("long")
     nodes = judged.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("says").alias("labelled"), F.coalesce(F.sum(label), F.lit(0)).alias("blocked")
     )
-    nodes = written(nodes.withColumn("template", F.lit("")))
+    nodes = written(nodes)
+    # The prior of a node comes from outside of it only: near + far times the share over all hosts, to
+    # which no branch kept apart (not `common`) adds its labels.
+    first = {"template": F.lit(""), "near": F.lit(0.0), "far": F.lit(1.0), "common": F.lit(True)}
+    active = nodes.withColumns(first)
+    names = ["host", "shape", "n", "labelled", "blocked", *first]
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    for level in range(1, depth + 1):
-        here = nodes.withColumn("segment", F.get("shape", F.lit(level - 1)))
-        branches = here.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums)
-        whole = branches.groupBy("host", "template").agg(
-            F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
+    settled, level = [], 0
+    while True:
+        node = ["host", "template"]
+        whole = active.groupBy(*node).agg(
+            F.count("*").alias("paths"),
+            *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")],
         )
-        rate = F.col("all_blocked") / F.col("all_labelled")
-        gap = F.abs(F.col("blocked") / F.col("labelled") - rate)
-        noise = z * F.sqrt(rate * (1 - rate) / F.col("labelled"))
-        own = branches.join(whole, ["host", "template"]).where(
-            (F.col("segment") != "*")
-            & (F.col("n") >= min_branch_urls)
-            & (F.col("labelled") > 0)
-            & F.when(F.col("labelled") > 0, gap > noise)
+        at = written(active.join(whole, node))
+        open_node = (F.col("paths") > 1) & (F.col("all_labelled") > 0)
+        rest = F.slice("shape", level + 1, F.greatest(F.size("shape") - level, F.lit(0)))
+        below = F.concat(F.array("template"), F.transform(rest, lambda s: F.lit(WILDCARD)))
+        settled.append(at.where(~open_node).withColumn("template", F.array_join(below, "/")).select(*names))
+        here = at.where(open_node)
+        if here.isEmpty():
+            break
+        # A path that ends here is a branch too, with the empty segment.
+        here = here.withColumn("segment", F.coalesce(F.get("shape", F.lit(level)), F.lit("")))
+        alls = ["all_n", "all_labelled", "all_blocked"]
+        branches = here.groupBy(*node, "segment", *alls).agg(*sums)
+        branches = written(branches.select(*node, "segment", _apart(z).alias("own"), "labelled", "blocked"))
+        ends = F.col("segment") == ""
+        pool = branches.where(~F.col("own")).groupBy(*node).agg(
+            *[
+                F.sum(F.when(side, F.col(c)).otherwise(0)).alias(f"{name}_{c}")
+                for name, side in (("end", ends), ("merged", ~ends))
+                for c in ("labelled", "blocked")
+            ]
         )
-        own = own.select("host", "template", "segment", F.lit(True).alias("own"))
-        branch = F.when(F.col("own"), F.col("segment")).otherwise(F.lit("*"))
-        nodes = here.join(own, ["host", "template", "segment"], "left").withColumn(
-            "template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), branch))
+        here = here.join(branches.select(*node, "segment", "own"), [*node, "segment"]).join(pool, node, "left")
+
+        def prior(base: Column, hits: bool) -> Column:
+            """Towards what the node holds besides the branch, without branches kept apart."""
+
+            def smoothed(side: str) -> Column:
+                seen = F.col(f"{side}_blocked") if hits else F.lit(0)
+                return (seen + prior_weight * base) / (F.col(f"{side}_labelled") + prior_weight)
+
+            return F.when(F.col("own"), base).when(ends, smoothed("merged")).otherwise(smoothed("end"))
+
+        branch = F.when(F.col("own"), F.col("segment")).otherwise(F.lit(WILDCARD))
+        here = here.withColumns(
+            {
+                "near": prior(F.col("near"), True),
+                "far": prior(F.col("far"), False),
+                "common": F.col("common") & ~F.col("own"),
+                "template": F.when(ends, F.col("template")).otherwise(F.concat("template", F.lit("/"), branch)),
+            }
         )
-        nodes = written(nodes.select("host", "shape", "n", "labelled", "blocked", "template"))
-
-    templates = nodes.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    hosts = nodes.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("blocked").alias("host_blocked"))
-    total = nodes.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
-    host_share = (F.col("host_blocked") + prior_weight * (total[0] + 1) / (total[1] + 2)) / (F.col("host_labelled") + prior_weight)
-    hosts = hosts.select("host", host_share.alias("host_share"))
-    share = (F.col("blocked") + prior_weight * F.col("host_share")) / (F.col("labelled") + prior_weight)
-    shares = templates.join(hosts, "host").select("host", "template", share.alias("block_share"))
+        settled.append(here.where(ends).select(*names))
+        active = here.where(~ends).select(*names)
+        level += 1
+
+    nodes = written(reduce(DataFrame.union, settled))
+    total = nodes.where("common").agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
+    outside = F.first("near") + F.first("far") * ((total[0] + 1) / (total[1] + 2))
+    share = (F.sum("blocked") + prior_weight * outside) / (F.sum("labelled") + prior_weight)
+    shares = nodes.groupBy("host", "template").agg(share.alias("block_share"))
     by_shape = nodes.select("host", "shape", "template").join(shares, ["host", "template"])
 
     own_says = F.when(F.col("block_share") > reject_share, "block").otherwise("allow")

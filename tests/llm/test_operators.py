@@ -189,6 +189,31 @@ def test_url_rules_and_templates(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
 
 
+def test_url_branches_take_no_labels_from_one_that_differs(spark):
+    def verdicts(urls):
+        df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        return {urls[r.page_id]: r for r in url_filter.judge_urls(df, RULES).collect()}
+
+    even = [f"http://other.com/{'de' if k % 2 else 'fr'}/{w}" for k, w in enumerate("abcdefgh")]
+    for n in (1, 8, 60):  # the only labelled branch, below and above the old limit
+        for base in ("http://h.com", "http://example.org"):
+            bad = [f"{base}/{'de' if base.endswith('com') else 'es'}/p{'x' * k}" for k in range(n)]
+            out = verdicts(bad + [f"{base}/", *(f"{base}/en/q{'y' * k}" for k in range(11))] + even)
+            assert all((r.verdict == "block") == (u in bad or "other.com/de" in u) for u, r in out.items())
+    deep = [("d", f"http://h.com/fr/{'x' * k}") for k in range(9)]
+    out = verdicts([u for _, u in deep] + [f"http://h.com/de/{w}" for w in "abcdefghi"] + ["http://h.com/en/a"])
+    assert {r.template for r in out.values()} >= {"/de/*", "/fr/*"} and out["http://h.com/en/a"].verdict == "allow"
+
+
+def test_url_paths_are_followed_to_their_full_depth(spark):
+    rules = (("h.com/a/b/c/d/e/f/bad/", "block"), ("h.com/a/b/c/d/e/f/good/", "allow"))
+    tails = [f"{kind}/{w * 2}" for kind in ("bad", "good") for w in "abcdefgh"] + ["new/a"]
+    df = spark.createDataFrame([(k, f"http://h.com/a/b/c/d/e/f/{t}") for k, t in enumerate(tails)], "page_id long, url string")
+    out = {r.page_id: r for r in url_filter.judge_urls(df, rules).collect()}
+    assert {out[0].template, out[8].template, out[16].template} == {f"/*/*/*/*/*/*/{w}/*" for w in ("bad", "good", "*")}
+    assert out[0].block_share > 0.5 > out[8].block_share and out[16].block_share == 0.5
+
+
 def test_token_counts_of_all_texts(spark, sf_dir, texts, odd):
     library = Tokenizer.from_file(public_tokenizers.path(WORD_BPE))
     for r in QUERIES["op6_token_counts"](spark, sf_dir).collect():
