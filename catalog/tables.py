@@ -52,12 +52,9 @@ def scan_existing_tables(spark, sf_dir):
 
 @query()
 def scan_files(spark, sf_dir):
-    """Name, size and bytes read of every file of the input folder."""
-    return files.read_files(spark, sf_dir).select(
-        L.path_segment(F.col("path")).alias("name"),
-        "length",
-        F.length("content").cast("bigint").alias("bytes_read"),
-    )
+    """Name and size of every file of the input folder, from metadata only; `scan_files_by_name` reads
+    and checks bytes, on small files."""
+    return files.read_files(spark, sf_dir).select(L.path_segment(F.col("path")).alias("name"), "length")
 
 
 @query("""SELECT lang, sum(strlen(text) + 1)::BIGINT AS total_bytes, sum(strlen(text) + 1)::BIGINT AS bytes_read
