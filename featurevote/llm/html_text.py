@@ -5,14 +5,21 @@ markup names as something else (menus, headers, footers, sidebars, notices, adve
 scripts) and lines that are mostly links become gaps: empty lines as wide as a window. Lengths are
 summed over a sliding window of lines. A surge is a line with text where the sum exceeds a threshold,
 a dive the next point where the window has no text left. Everything between a surge and its dive
-is kept, together with the lines that join onto it without a gap. Shorter stretches are kept if they
-stand in the same container as such a region, as where an advert interrupts an article.
+is kept, together with the lines that join onto it without a gap. Shorter stretches are kept if any
+container around them, the page included, also holds such a region, as where an advert interrupts an
+article.
+
+A main element with text is the main region, to which everything is limited; otherwise the articles
+are, if they hold at least as much text in surges as the rest. If they hold less, several of them are
+repeated units such as comments and teasers, and left out. Inside a main region links are text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,26 +82,34 @@ def is_other(tag: str, attributes: str) -> bool:
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, bool, int]]:
-    """The text of each block in page order, white space turned into single spaces, whether it may be
-    main text, and the number of its container, 0 for the page. Blocks without text are left out."""
-    lines: list[tuple[str, bool, int]] = []
+class Line(NamedTuple):
+    text: str
+    other: bool  # markup says that it is no main text
+    by_links: bool
+    containers: tuple[int, ...]  # all around it, outermost first, the page as 0
+    region: tuple[str, int] | None  # tag and number of the outermost main or article around it
+
+
+def page_lines(page: str) -> list[Line]:
+    """The text of each block in page order, white space turned into single spaces, with its place.
+    Blocks without text are left out."""
+    lines: list[Line] = []
     open_containers: list[tuple[str, int]] = []
     n_containers = 0
     parts: list[str] = []
     linked = 0
     stack: list[str] = []  # open elements inside of the outermost one that is no main text
     inside_link = False
-    has_main = re.search(r"<(?:article|main)\b", page, re.I) is not None
-    main_depth = 0
+    main_depth, n_regions = 0, 0
+    region: tuple[str, int] | None = None
 
     def end_block() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             by_links = linked >= MIN_LINK_CHARS and linked > LINK_SHARE * len(text)
-            may = not stack and not by_links and (main_depth > 0 or not has_main)
-            lines.append((text, may, open_containers[-1][1] if open_containers else 0))
+            around = (0, *(number for _, number in open_containers))
+            lines.append(Line(text, bool(stack), by_links, around, region if main_depth else None))
         parts.clear()
         linked = 0
 
@@ -142,6 +157,9 @@ def page_lines(page: str) -> list[tuple[str, bool, int]]:
                 while open_containers.pop()[0] != tag:
                     pass
         if tag in ("article", "main") and (closing or not stack):
+            if main_depth == 0 and not closing:
+                n_regions += 1
+                region = (tag, n_regions)
             main_depth = max(0, main_depth + (-1 if closing else 1))
             inside_link = False
     if at < len(page):
@@ -150,42 +168,74 @@ def page_lines(page: str) -> list[tuple[str, bool, int]]:
     return lines
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The main text of a page, its blocks joined by spaces; empty for a missing or empty page."""
-    if not page:
-        return ""
-    lines: list[str] = []
-    containers: list[int] = []
-    for text, may, container in page_lines(page):
-        if may:
-            lines.append(text)
-            containers.append(container)
+def stretches(page: list[Line], may: Callable[[Line], bool], window: int) -> list[tuple[int, list[Line]]]:
+    """The largest window sum and the lines of each stretch of lines that may be main text; others are gaps."""
+    lines: list[Line | None] = []
+    for line in page:
+        if may(line):
+            lines.append(line)
         elif lines and lines[-1]:
-            lines += [""] * window
-            containers += [0] * window
-    lines += [""] * window
-    containers += [0] * window
-    sums, total = [], sum(len(t) for t in lines[:window])
-    for k, text in enumerate(lines):
-        sums.append(total)
-        total += (len(lines[k + window]) if k + window < len(lines) else 0) - len(text)
-    regions, start, high = [], None, 0
-    for k, text in enumerate(lines):
-        if start is None and text:
+            lines += [None] * window
+    lines += [None] * window
+    sizes = [len(line.text) if line else 0 for line in lines]
+    found: list[tuple[int, list[Line]]] = []
+    start, high, total = None, 0, sum(sizes[:window])
+    for k, size in enumerate(sizes):
+        if start is None and size:
             start, high = k, 0
         if start is not None:
-            high = max(high, sums[k])
-            if sums[k] == 0:  # a dive
-                regions.append((high, start, k))
+            high = max(high, total)
+            if total == 0:  # a dive
+                found.append((high, [line for line in lines[start:k] if line]))
                 start = None
+        total += (sizes[k + window] if k + window < len(sizes) else 0) - size
     if start is not None:
-        regions.append((high, start, len(lines)))
-    kept = [r for r in regions if r[0] >= surge]
-    if not kept and regions:
-        kept = [max(regions, key=lambda r: (r[0], -r[1]))]
-    around = {c for _, a, b in kept for c in containers[a:b] if c}
-    kept = [r for r in regions if r in kept or not around.isdisjoint(containers[r[1] : r[2]])]
-    return " ".join(t for _, a, b in kept for t in lines[a:b] if t)
+        found.append((high, [line for line in lines[start:] if line]))
+    return found
+
+
+def main_rule(page: list[Line], window: int, surge: int) -> Callable[[Line], bool]:
+    """Which lines may be main text."""
+
+    def inside(line: Line) -> bool:
+        return not line.other and line.region is not None and line.region[0] in tags
+
+    def outside(line: Line) -> bool:
+        return not line.other and not line.by_links and line.region is None
+
+    def anywhere(line: Line) -> bool:
+        return not line.other and not line.by_links
+
+    def surges(may: Callable[[Line], bool]) -> int:
+        return sum(len(line.text) for high, part in stretches(page, may, window) if high >= surge for line in part)
+
+    regions = {line.region for line in page if not line.other and line.region is not None}
+    if not regions:
+        return anywhere
+    tags = {"main"} if any(tag == "main" for tag, _ in regions) else {"article"}
+    if tags == {"main"} or surges(inside) >= surges(outside):
+        return inside
+    return outside if len(regions) > 1 else anywhere
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The main text of a page, its blocks joined by spaces; empty for a missing or empty page."""
+    if not page:
+        return ""
+    lines = page_lines(page)
+    may = main_rule(lines, window, surge)
+    found = stretches(lines, may, window)
+    if not found:
+        return ""
+    kept = [part for high, part in found if high >= surge] or [max(found, key=lambda f: f[0])[1]]
+    # A page that is the only container around both counts as well, but not around a main region.
+    limited = {line.region for part in kept for line in part}
+    around = {c for part in kept for line in part for c in line.containers}
+    if None not in limited:
+        around.discard(0)
+    own = {id(part) for part in kept}
+    joined = [p for _, p in found if id(p) in own or any(not around.isdisjoint(line.containers) for line in p)]
+    return " ".join(line.text for part in joined for line in part)
 
 
 def extract_text(

@@ -286,6 +286,21 @@ def test_html_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in out)
 
 
+def test_html_main_region_is_parsed_and_short_stretches_rejoin():
+    long = "A paragraph of the story that is long enough to be a surge by itself, as it has over eighty characters."
+    share = "<div class='share'>Share</div>"
+    for lost in ("<!-- <article> -->", "<script>var t = '<main>'</script>", "<template><article>x</article></template>", "<nav><article>Menu</article></nav>"):
+        assert html_text.main_text(f"{lost}<div><p>{long}</p></div>") == long
+    unit = "<article><p>Great story, thanks for writing all of it down, I have read it twice and sent it on to others.</p></article>"
+    assert html_text.main_text(f"<div><p>{long}</p><p>{long}</p><p>{long}</p></div>{unit}{unit}") == " ".join([long] * 3)
+    title = f"<article><h1>Title</h1>{share}<div class='body'><p>{long}</p></div></article>"
+    assert html_text.main_text(title) == f"Title {long}"
+    assert html_text.main_text(f"<body><p>{long}</p><div class='ad'>Buy</div><p>Short end.</p>") == f"{long} Short end."
+    linked = f"<article><p>{long}</p><p><a href='/x'>A line that is one link</a></p></article>"
+    assert html_text.main_text(linked) == f"{long} A line that is one link"
+    assert html_text.main_text(linked.replace("article", "div")) == long
+
+
 def brute_hits(text, items):
     pattern, low = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     w, hit, found = pattern.findall((text or "").translate(low)), set(), set()
