@@ -235,7 +235,6 @@ def feature_distribution(spark, sf_dir):
        round(quantile_disc(value, 0.5), 6) AS median, round(quantile_disc(value, 0.75), 6) AS p75
 FROM positions GROUP BY position""")
 def feature_quartiles(spark, sf_dir):
-    """Exact while a position has fewer values than the accuracy asked for, as here."""
     rows = explore.feature_quantiles(table(spark, sf_dir, "embeddings"), features="embedding")
     names = ("p25", "median", "p75")
     return rows.select("position", *[F.round(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate(names)])

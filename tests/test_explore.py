@@ -1,8 +1,27 @@
-"""Scans that need no content."""
+"""Quantiles at sizes beyond a sketch's accuracy, and scans that need no content."""
 
 import os
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry_point
+from featurevote.operators import explore
+
+
+def test_quantiles_are_exact_beyond_ten_thousand_values(spark):
+    n, shares = 150_001, (0.0, 0.1, 0.25, 0.333, 0.5, 0.75, 0.999, 1.0)
+    hot = F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") * 1e-3)
+    spread = F.pmod(F.col("id") * 7919, F.lit(n)).cast("double")
+    df = spark.range(n).select(F.array(spread, hot, F.exp(F.col("id") * 1e-3), F.lit(None).cast("double")).alias("features"))
+    found = {r["position"]: r["quantiles"] for r in explore.feature_quantiles(df, shares).collect()}
+    ids = np.arange(n)
+    columns = [ids * 1.0, np.where(ids % 3 == 0, 7.0, ids * 1e-3)]
+    for position, values in enumerate(columns):
+        ordered = np.sort(values)
+        assert found[position] == [ordered[max(1, int(np.ceil(q * n))) - 1] for q in shares]
+    assert np.allclose(found[2], [np.exp((max(1, int(np.ceil(q * n))) - 1) * 1e-3) for q in shares], rtol=1e-9)
+    assert found[3] is None
 
 
 def test_scanning_files_reads_no_content(spark, sf_dir):
