@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurevote.llm import bpe, decontam, fill_middle, html_text, langid, neardup, sharding, token_count, token_files, topk, url_filter
+from featurevote.llm import bpe, conversations, decontam, fill_middle, html_text, langid, neardup, sharding, token_count, token_files, topk, url_filter
 from featurevote.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,18 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=1)
     again = fill_middle.restored(F.col("output"), F.col("form"))
     return found.withColumn("restored_sha256", F.sha2(again, 256)).withColumn("output_sha256", F.sha2("output", 256)).drop("output")
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    repaired = conversations.report(conversations.repair(conversations.damaged(turns)), id_col="_id")
+    every = turns.select("conv_id").distinct()
+    rows = every.join(repaired, every["conv_id"].eqNullSafe(repaired["_id"]), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return rows.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
