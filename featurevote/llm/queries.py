@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurevote.llm import bpe, conversations, decontam, fill_middle, html_text, langid, neardup, sharding, token_count, token_files, topk, url_filter
-from featurevote.llm.common import shared_folder
+from featurevote.llm import bpe, conversations, decontam, fill_middle, html_text, langid, neardup, quality_rules, sharding, token_count, token_files, topk, url_filter
+from featurevote.llm.common import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,6 +138,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statistics = written(quality_rules.text_statistics(table(spark, sf_dir, "documents")))
+    rules = quality_rules.learn_rules(statistics, table(spark, sf_dir, "labels"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality_rules.judged(statistics, rules).select("doc_id", *base, "base_failed", "kept", "rule")
+
+
 @query(
     """
     WITH texts AS (
