@@ -28,9 +28,9 @@ def fixed_nodes(spark):
         while todo:
             node = todo.pop()
             leaf = _is_leaf(tree, node)
-            stats = [1.0 + (5 * node + tree) % 7, 1.0 + (3 * node + 2 * tree) % 5]
+            no = 1.0 + (5 * node + tree) % 7  # of 8, so that sums of shares are exact
             split = (-1, None, -1, -1) if leaf else ((37 * node + 13 * tree) % S.WIDTH, ((7 * node + 3 * tree) % 11 - 5) / 50, 2 * node, 2 * node + 1)
-            rows.append((tree, node, *split, stats, 1, 0.0, 1.0))
+            rows.append((tree, node, *split, [no, 8 - no], 1, 0.0, 1.0))
             todo += [] if leaf else [2 * node, 2 * node + 1]
     schema = (
         "tree int, node int, feature int, threshold double, left int, right int, "
@@ -50,8 +50,7 @@ visits AS (SELECT *, node >= {LAST_LEVEL} OR (node > 1 AND (7 * node + 5 * tree)
 
 
 @query(f"""{WALK}, votes AS (
-  SELECT vec_id, label, sum((1 + (5 * node + tree) % 7)::DOUBLE / (2 + (5 * node + tree) % 7 + (3 * node + 2 * tree) % 5)) AS no,
-         sum((1 + (3 * node + 2 * tree) % 5)::DOUBLE / (2 + (5 * node + tree) % 7 + (3 * node + 2 * tree) % 5)) AS yes
+  SELECT vec_id, label, sum(1 + (5 * node + tree) % 7)::DOUBLE AS no, sum(7 - (5 * node + tree) % 7)::DOUBLE AS yes
   FROM visits WHERE leaf GROUP BY vec_id, label)
 SELECT vec_id, label, CASE WHEN yes > no THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction,
        round(yes / (yes + no), 6) AS score FROM votes""")

@@ -174,6 +174,28 @@ def ingest_files(spark, sf_dir):
     return checked.select("label", "split", "source_bytes", "target_bytes", "complete")
 
 
+LONGEST_FILE = 30_000
+
+
+@query(f"""WITH f AS (SELECT lang, source, sum(strlen(text) + 1)::BIGINT AS length FROM documents GROUP BY lang, source)
+SELECT lang, source, length, CASE WHEN length <= {LONGEST_FILE} THEN length END AS bytes,
+       CASE WHEN length > {LONGEST_FILE} THEN 'too long' END AS error,
+       count(*) OVER () AS total_files, (sum(length) OVER ())::BIGINT AS total_size,
+       count(*) FILTER (length > {LONGEST_FILE}) OVER () AS failed_files
+FROM f""")
+def ingest_with_failures(spark, sf_dir):
+    """One text file for each language and source, of which long ones cannot be taken: status of every file,
+    and the statistics of the run."""
+    source, target = sinks.shared_folder(spark), sinks.shared_folder(spark)
+    texts = table(spark, sf_dir, "documents").select("lang", "source", "text")
+    texts.repartition("lang", "source").write.partitionBy("lang", "source").text(source)
+    lang, origin = (F.regexp_extract("path", f"/{name}=([a-z0-9]+)/", 1) for name in ("lang", "source"))
+    stats = sinks.ingest_files(spark, source, target, "*.txt", split=lang, label=origin, max_bytes=LONGEST_FILE)
+    status = sinks.ingest_status(spark, source, target, "*.txt", max_bytes=LONGEST_FILE)
+    told = [F.lit(stats[name]).cast("bigint").alias(name) for name in ("total_files", "total_size", "failed_files")]
+    return status.select(lang.alias("lang"), origin.alias("source"), "length", "bytes", "error", *told)
+
+
 @query("""WITH s AS (SELECT lang, source, count(*) AS source_files, sum(n_chars)::BIGINT AS source_bytes
   FROM documents GROUP BY ALL),
 t AS (SELECT lang, source, count(*) AS target_files, sum(n_chars)::BIGINT AS target_bytes

@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from featurevote.functions.labels import key_hash, label_from_path
-from featurevote.sources.files import read_files, read_first_files
-from featurevote.values import FILE_GLOB
+from featurevote.functions.labels import key_hash
+from featurevote.sources.files import file_status, read_files, read_first_files, read_readable_files, tag_below
+from featurevote.values import FILE_GLOB, LABEL_PATTERN, SPLIT_PATTERN
 
 FEATURE_LAYOUT = ("split", "label", "batch")
 
@@ -151,33 +151,50 @@ def ingest_files(
     max_files: int | None = None,
     split: Column | None = None,
     label: Column | None = None,
+    max_bytes: int | None = None,
 ) -> dict[str, int]:
     """Copy files into a Parquet table of bytes by split and label; returns run statistics.
 
-    ``split`` and ``label`` default to what the path says. The statistics are read back from
-    the narrow columns; a file counts as failed if not all of its bytes were stored.
+    ``split`` and ``label`` default to what the path says below ``source``. A file that cannot be read, or
+    is longer than ``max_bytes``, does not stop the run: it is left out and counted as failed, and
+    :func:`ingest_status` names it. ``total_files`` and ``total_size`` are the files and bytes found.
     """
     if max_files is None:
-        files = read_files(spark, source, name_glob, recursive=True)
+        listed = read_files(spark, source, name_glob, recursive=True)
+        files = read_readable_files(spark, source, name_glob, recursive=True, max_bytes=max_bytes)
     else:
-        files = read_first_files(spark, source, max_files, name_glob=name_glob, recursive=True)
+        listed = read_first_files(spark, source, max_files, name_glob=name_glob, recursive=True)
+        files = read_first_files(spark, source, max_files, name_glob=name_glob, recursive=True, max_bytes=max_bytes, readable=True)
     path = F.col("path")
     tagged = files.withColumns(
         {
-            "label": label_from_path(path) if label is None else label,
-            "split": F.regexp_extract(path, "/(train|test)/", 1) if split is None else split,
+            "label": tag_below(path, source, LABEL_PATTERN) if label is None else label,
+            "split": tag_below(path, source, SPLIT_PATTERN) if split is None else split,
         }
     )
     stored = tagged.withColumn("stored", F.octet_length("content"))
     write_table(stored, target, ("split", "label"))
-    stats = spark.read.schema(stored.schema).parquet(target).agg(
+    written = spark.read.schema(stored.schema).parquet(target)
+    stats = file_status(listed, written, max_bytes).agg(
         F.count(F.lit(1)).alias("total_files"),
         F.coalesce(F.sum("length"), F.lit(0).cast("bigint")).alias("total_size"),
-        F.count_if(F.col("stored").isNull() | (F.col("stored") != F.col("length"))).alias("failed_files"),
+        F.count("error").alias("failed_files"),
     )
     return stats.first().asDict()
 
 
+def ingest_status(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    name_glob: str | None = FILE_GLOB,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """(path, length, bytes, error), one row for each file below ``source``: what ``target`` holds of it."""
+    listed = read_files(spark, source, name_glob, recursive=True)
+    return file_status(listed, spark.read.parquet(target), max_bytes)
+
+
 def verify_ingest(
     source: DataFrame, target: DataFrame, keys: Sequence[str] = ("split", "label"), size: str = "length"
 ) -> DataFrame:

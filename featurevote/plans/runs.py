@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurevote.functions.labels import label_from_path, label_to_int, stable_batch
+from featurevote.functions.labels import label_to_int, stable_batch
 from featurevote.operators.features import image_features
 from featurevote.operators.prepare import valid_rows
 from featurevote.operators.sinks import (
@@ -30,12 +30,18 @@ from featurevote.plans.ensemble import (
     member_accuracy,
 )
 from featurevote.plans.score import score
-from featurevote.sources.files import read_files, read_images
+from featurevote.sources.files import read_files, read_images, tag_below
 from featurevote.sources.tables import metrics_table, read_batches
-from featurevote.values import FILE_GLOB, LABEL_TO_INT, TARGET_ACCURACY, TRAIN_BATCHES
+from featurevote.values import (
+    FILE_GLOB,
+    LABEL_PATTERN,
+    LABEL_TO_INT,
+    SPLIT_PATTERN,
+    TARGET_ACCURACY,
+    TRAIN_BATCHES,
+)
 
 ESTIMATORS = {"lr": train.logistic_regression, "rf": train.random_forest}
-SPLIT_PATTERN = "/(train|test)/"
 
 
 def extract(
@@ -49,27 +55,39 @@ def extract(
 ) -> DataFrame:
     """Images below ``source`` to a feature table by split, label and batch; one report row each.
 
-    Training rows get ``n_batches`` stable batches, test rows one. Files outside a split or
-    class directory are left out. Files that cannot be decoded are kept with ``is_valid``
-    false, so that the file listing alone tells how many rows must arrive.
+    Training rows get ``n_batches`` stable batches, test rows one. Split and class are those that the path
+    names below ``source``. Files outside a split or class directory are not extracted; they are
+    reported as rows with what is known of them, no batch, nothing saved and ``ok`` false. Files that
+    cannot be decoded are kept with ``is_valid`` false, so that the file listing alone tells how many
+    rows must arrive.
     """
+    path, known = F.col("path"), F.col("label").isNotNull() & F.col("split").isNotNull()
 
-    def placed(files: DataFrame) -> DataFrame:
-        name = label_from_path(F.col("path"))
-        tagged = files.withColumns(
+    def tagged(files: DataFrame) -> DataFrame:
+        name = tag_below(path, source, LABEL_PATTERN)
+        named = files.withColumns(
             {
                 "label": label_to_int(name, labels or LABEL_TO_INT),
-                "split": F.regexp_extract("path", SPLIT_PATTERN, 1),
+                "split": F.nullif(tag_below(path, source, SPLIT_PATTERN), F.lit("")),
             }
-        ).where("label is not null and split <> ''")
-        batch = stable_batch(F.col("path"), n_batches)
-        return tagged.withColumn("batch", F.when(F.col("split") == "train", batch).otherwise(1))
-
-    rows = image_features(placed(read_images(spark, source, name_glob)), layout=layout)
-    listing = placed(read_files(spark, source, name_glob, recursive=True).select("path"))
-    return write_batches_verified(
-        rows.select("path", "features", "is_valid", "label", "split", "batch"), target, source=listing
+        )
+        return named.withColumn("batch", F.when(F.col("split") == "train", stable_batch(path, n_batches)).otherwise(1))
+
+    rows = image_features(tagged(read_images(spark, source, name_glob)).where(known), layout=layout)
+    listing = tagged(read_files(spark, source, name_glob, recursive=True).select("path"))
+    report = write_batches_verified(
+        rows.select("path", "features", "is_valid", "label", "split", "batch"), target, source=listing.where(known)
     )
+    left_out = listing.where(~known).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_input"))
+    left_out = left_out.withColumns({"batch": F.lit(None).cast("int"), "n_saved": F.lit(0).cast("bigint"), "ok": F.lit(False)})
+    return report.unionByName(left_out)
+
+
+def _counted(spark: SparkSession, features: str) -> DataFrame:
+    """(split, label, n_rows, n_invalid) of a feature table: invalid rows take no part in fits and metrics."""
+    stored = read_batches(spark, features)
+    invalid = ~F.col("is_valid") if "is_valid" in stored.columns else F.lit(False)
+    return stored.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(invalid).alias("n_invalid"))
 
 
 def _rows(
@@ -92,9 +110,11 @@ def train_on_all(
 ) -> DataFrame:
     """Fit the preset's models on all training rows; one metric row per model, also saved.
 
-    Writes ``models/<kind>``, ``predictions/<kind>`` and ``metrics``. ``max_batch`` trains on
-    the first batches only.
+    Writes ``models/<kind>``, ``predictions/<kind>``, ``metrics`` and ``rows``, which counts the rows of
+    the feature table and the invalid ones among them, which are not used. ``max_batch`` trains on the
+    first batches only. With test rows of one class the AUC is missing.
     """
+    write_table(_counted(spark, features), f"{output}/rows")
     rows = _rows(spark, features, "train", max_batch=max_batch)
     test = _rows(spark, features, "test", (key,))
     n_training = rows.count()
@@ -133,9 +153,11 @@ def train_ensemble(
 ) -> dict[str, DataFrame]:
     """One model per training batch, voting on the test rows.
 
-    Writes ``models/<kind>_batch_<n>``, ``votes``, ``final`` and ``metrics``. Returns the saved
+    Writes ``models/<kind>_batch_<n>``, ``votes``, ``final``, ``metrics`` and ``rows``, as
+    :func:`train_on_all` does. Returns the saved
     ``votes``, the ``metrics`` by name, the ``members`` and their ``gain``, and the ``verdict``.
     """
+    write_table(_counted(spark, features), f"{output}/rows")
     estimator = ESTIMATORS[kind](preset)
     rows = _rows(spark, features, "train", ("batch",))
     test = _rows(spark, features, "test", (key,))

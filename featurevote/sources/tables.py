@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 METRICS_SCHEMA = T.StructType(
     [T.StructField("model", T.StringType(), False)]
     + [
-        T.StructField(name, T.DoubleType(), False)
+        T.StructField(name, T.DoubleType(), name != "training_time_seconds")
         for name in ("accuracy", "precision", "recall", "f1_score", "auc_roc", "training_time_seconds")
     ]
 )
@@ -73,7 +73,8 @@ def read_existing_tables(spark: SparkSession, paths: Iterable[str]) -> DataFrame
 
 
 def metrics_table(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
-    """Metric rows under the explicit, non-null schema; 8 values add training_samples."""
+    """Metric rows under the explicit schema; 8 values add training_samples. A metric may be missing, as
+    the AUC of a single class is."""
     with_samples = bool(rows) and len(rows[0]) == len(METRICS_SCHEMA_WITH_SAMPLES)
     schema = METRICS_SCHEMA_WITH_SAMPLES if with_samples else METRICS_SCHEMA
     return spark.createDataFrame(list(rows), schema)

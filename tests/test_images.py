@@ -147,6 +147,33 @@ def test_inference_from_files(spark, folder):
     assert abs(sum(found["grey.png"]["probability"]) - 1) < 1e-9
 
 
+def test_a_broken_file_is_reported_and_does_not_stop_the_run(spark, tmp_path):
+    for name, size in (("a", 10), ("b", 20), ("c", 3_000), ("d", 1)):
+        folder = tmp_path / "raw" / "train" / "REAL"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{name}.jpg").write_bytes(bytes(size))
+    # A checksum that does not fit: Hadoop's file system fails while reading this file.
+    (folder / ".b.jpg.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x01\x02\x03\x04")
+    source, target = str(tmp_path / "raw"), str(tmp_path / "out")
+    with pytest.raises(Exception, match="b.jpg"):
+        files.read_files(spark, source, "*.jpg", recursive=True).collect()
+    stats = sinks.ingest_files(spark, source, target, max_bytes=1_000)
+    assert stats == {"total_files": 4, "total_size": 3_031, "failed_files": 2}
+    status = by_name(sinks.ingest_status(spark, source, target, max_bytes=1_000), "length", "bytes", "error")
+    assert {n: (r["length"], r["bytes"], r["error"]) for n, r in status.items()} == {
+        "a.jpg": (10, 10, None),
+        "b.jpg": (20, None, "unreadable"),
+        "c.jpg": (3_000, None, "too long"),
+        "d.jpg": (1, 1, None),
+    }
+    again = sinks.ingest_files(spark, source, str(tmp_path / "few"), max_files=2)
+    assert again == {"total_files": 2, "total_size": 30, "failed_files": 1}
+    listed = files.read_files(spark, source, "*.jpg", recursive=True)
+    cut = spark.read.parquet(target).withColumn("stored", F.least("stored", F.lit(4)))
+    told = by_name(files.file_status(listed, cut, 1_000), "error")
+    assert told["a.jpg"]["error"] == "cut short" and told["d.jpg"]["error"] is None
+
+
 def test_kernel_runs_once_and_only_where_needed(spark, folder):
     rows = features.image_features(prepare.with_label(files.read_images(spark, folder, "*.png")))
 

@@ -33,11 +33,16 @@ def test_from_files_to_predictions(spark, raw, capsys):
     assert sizes == {("train", 1): 13, ("train", 0): 12, ("test", 1): 4, ("test", 0): 4}
     assert stored.where("split = 'test'").select("batch").distinct().collect()[0][0] == 1
     report = runs.extract(spark, raw, sinks.shared_folder(spark), n_batches=3, name_glob="*.png")
-    assert all(r["ok"] for r in report.collect()) and report.agg({"n_input": "sum"}).first()[0] == 33
+    told = report.collect()
+    assert sum(r["n_input"] for r in told if r["ok"]) == 33
+    left_out = [(r["split"], r["label"], r["batch"], r["n_input"], r["n_saved"]) for r in told if not r["ok"]]
+    assert left_out == [(None, 1, None, 1, 0)]
     main(["train", "--features", features, "--output", output, "--preset", "small"], spark)
     metrics = {r["model"]: r for r in spark.read.parquet(f"{output}/metrics").collect()}
     assert sorted(metrics) == ["lr", "rf"] and metrics["lr"]["training_samples"] == 24
     assert metrics["lr"]["accuracy"] == 1.0
+    counted = {(r["split"], r["label"]): (r["n_rows"], r["n_invalid"]) for r in spark.read.parquet(f"{output}/rows").collect()}
+    assert counted == {("train", 1): (13, 1), ("train", 0): (12, 0), ("test", 1): (4, 0), ("test", 0): (4, 0)}
     found = sinks.shared_folder(spark)
     main(
         ["predict", "--input", raw, "--output", found, "--model", f"{output}/models/lr", "--kind", "lr",
@@ -72,6 +77,26 @@ def test_ensemble_run_writes_what_it_reports(spark, sf_dir):
     assert result["verdict"].first()["target_met"] == (metrics["accuracy"] >= 0.5)
 
 
+def test_test_rows_of_one_class_have_no_auc(spark, sf_dir):
+    features, output = sinks.shared_folder(spark), sinks.shared_folder(spark)
+    rows = S.laid_out(spark, sf_dir).where("split = 'train' or label = 1")
+    sinks.write_table(rows, features, sinks.FEATURE_LAYOUT)
+    runs.train_on_all(spark, features, output, "small", key="vec_id")
+    found = {r["model"]: r for r in spark.read.parquet(f"{output}/metrics").collect()}
+    assert sorted(found) == ["lr", "rf"]
+    assert all(r["auc_roc"] is None and 0 <= r["accuracy"] <= 1 for r in found.values())
+
+
+def test_split_and_class_are_read_below_the_root(spark, tmp_path):
+    root = tmp_path / "train" / "REAL" / "raw"
+    for place in ("test/FAKE", "train/REAL", "FAKE"):
+        write_png(root / place / "x.png", np.zeros((2, 2, 3)))
+    found = sinks.shared_folder(spark)
+    stats = sinks.ingest_files(spark, str(root), found, "*.png")
+    rows = sorted((r["split"], r["label"]) for r in spark.read.parquet(found).select("split", "label").collect())
+    assert stats["total_files"] == 3 and rows == [("test", "FAKE"), ("train", "FAKE"), ("train", "REAL")]
+
+
 def test_forest_only_preset(spark, sf_dir):
     assert runs._kinds("mixed_batches_forest") == ["rf"] and runs._kinds("basic") == ["lr", "rf"]
 
