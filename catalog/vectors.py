@@ -240,6 +240,23 @@ def feature_quartiles(spark, sf_dir):
     return rows.select("position", *[F.round(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate(names)])
 
 
+@query(f"""{POSITIONS} SELECT (64 * copy + position)::INTEGER AS position,
+       round(quantile_disc(value * (copy - 15), 0.1), 6) AS p10, round(quantile_disc(value * (copy - 15), 0.5), 6) AS median,
+       round(quantile_disc(value * (copy - 15), 0.9), 6) AS p90
+FROM positions, range(32) AS c(copy) GROUP BY 1""")
+def wide_quantiles(spark, sf_dir):
+    """Quantiles of vectors of the full width, made of 32 multiples of the stored ones."""
+    places = F.sequence(F.lit(0), F.lit(values.FEATURE_WIDTH - 1))
+    wide = F.transform(
+        places,
+        lambda i: F.get("embedding", i % S.WIDTH).cast("double") * (F.floor(i / S.WIDTH) - 15),
+    )
+    rows = table(spark, sf_dir, "embeddings").select(wide.alias("features"))
+    found = explore.feature_quantiles(rows, (0.1, 0.5, 0.9))
+    names = ("p10", "median", "p90")
+    return found.select("position", *[F.round(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate(names)])
+
+
 @query()
 def feature_quantiles(spark, sf_dir):
     return explore.feature_quantiles(table(spark, sf_dir, "embeddings"), features="embedding")

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from featurevote.operators.quantiles import exact_quantiles
 from featurevote.values import TOP_IMPORTANCES
 
 
@@ -75,41 +75,12 @@ def feature_quantiles(
 ) -> DataFrame:
     """(position, quantiles), exact: the smallest value with at least that share of the values up to it.
 
-    Rows are counted by (position, value). The values of a position are cut into ranges, and counts are
-    cumulated over the ranges, then inside those that hold a quantile only. The cut points are constants
-    of the plan, about four numbers for each shuffle partition or one for each position on the driver;
-    any cut points give the same result. Missing values count for nothing.
+    Found by sketches in a few scans, see :mod:`featurevote.operators.quantiles`; no value is shuffled.
+    Missing values count for nothing, and a position with no others has no quantiles.
     """
-    shares = [float(q) for q in quantiles]
-    counts = _positions(df, features).groupBy("position", "value").agg(F.count("value").alias("n"))
-    sizes = counts.groupBy("position").agg(F.sum("n").alias("total"))
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(2, -(-4 * partitions // max(1, sizes.count())))
-    cuts = counts.groupBy("position").agg(
-        F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts")
-    )
-    cuts = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-    below = F.size(F.filter("cuts", lambda cut: cut < F.col("value")))
-    ranged = counts.where("n > 0").join(cuts, "position").select("position", "value", "n", below.alias("range"))
-
-    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(q).alias("q")) for k, q in enumerate(shares)]))
-    before = W.partitionBy("position").orderBy("range")
-    totals = ranged.groupBy("position", "range").agg(F.sum("n").alias("held"))
-    totals = totals.withColumn("upto", F.sum("held").over(before)).join(sizes, "position")
-    rank = F.greatest(F.lit(1), F.ceil(F.col("wanted.q") * F.col("total"))).cast("bigint")
-    totals = totals.withColumn("wanted", wanted).withColumn("rank", rank - (F.col("upto") - F.col("held")))
-    holding = totals.where("rank between 1 and held").groupBy("position", "range").agg(
-        F.collect_list(F.struct("wanted.k", "rank")).alias("asked")
-    )
-    inside = W.partitionBy("position", "range").orderBy("value")
-    run = ranged.join(holding, ["position", "range"]).withColumn("upto", F.sum("n").over(inside))
-    hits = F.filter("asked", lambda a: (a["rank"] <= F.col("upto")) & (a["rank"] > F.col("upto") - F.col("n")))
-    found = run.select("position", "value", F.explode(hits).alias("hit")).groupBy("position").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("hit.k", "value"))), lambda x: x["value"]
-        ).alias("quantiles")
-    )
-    return sizes.select("position").join(found, "position", "left")
+    found, width = exact_quantiles(df, quantiles, features)
+    rows = [(p, found.get(p)) for p in range(width)]
+    return df.sparkSession.createDataFrame(rows, "position int, quantiles array<double>")
 
 
 def principal_components(df: DataFrame, k: int, features: str = "features"):
