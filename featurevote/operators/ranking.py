@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
@@ -38,7 +39,8 @@ def score_counts(
     return (
         df.select(
             *by,
-            F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score"),
+            # Adding zero makes one of both zeros.
+            (F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))) + F.lit(0.0)).alias("score"),
             (F.col(label) == F.lit(positive)).cast("bigint").alias("is_pos"),
             (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("n"),
         )
@@ -72,25 +74,26 @@ def cumulative_counts(
     bounds = list(bounds) or [0.0]
     splits = [float("-inf"), *bounds, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="score", outputCol="_range", handleInvalid="keep")
-    ranged = cut.transform(counts)
+    ranged = cut.transform(counts).withColumn("_range", F.col("_range").cast("int"))
     higher = W.partitionBy(*by).orderBy(F.desc("_range"))
     # One row per range and group: as many as there are bounds.
     lifts = (
         ranged.groupBy(*by, "_range")
         .agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
         .select(
-            *by,
-            "_range",
+            F.col("_range").alias("__range"),
+            *[F.col(c).alias(f"_{c}") for c in by],
             (F.sum("_pos").over(higher) - F.col("_pos")).alias("_higher_pos"),
             (F.sum("_neg").over(higher) - F.col("_neg")).alias("_higher_neg"),
             F.sum("_pos").over(W.partitionBy(*by)).alias("n_pos"),
             F.sum("_neg").over(W.partitionBy(*by)).alias("n_neg"),
         )
     )
-    inside = W.partitionBy(*by, "_range").orderBy(F.desc("score"))
+    inside = W.partitionBy(*by, "_range").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
     running = ranged.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)})
-    # Left join: an inner one would also test every source row for a NULL range.
-    return running.join(lifts, on=[*by, "_range"], how="left").select(
+    # Missing groups are groups like others. Left join: an inner one would also test every row for them.
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "_range"]])
+    return running.join(lifts, same, "left").select(
         *by,
         "score",
         "pos",
@@ -109,11 +112,10 @@ def ranked(
     positive: int = 1,
     by: Sequence[str] = (),
     weight: str | None = None,
-    few_scores: bool = False,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Cumulative counts of a scored table; ``few_scores`` spares the pass for cut points, as for
-    vote shares between 0 and 1."""
-    bounds = [0.5] if few_scores else score_bounds(df, score)
+    """Cumulative counts of a scored table, from which all curves and areas follow."""
+    bounds = score_bounds(df, score, ranges)
     return cumulative_counts(score_counts(df, score, label, positive, by, weight), bounds, by)
 
 
@@ -136,10 +138,10 @@ def auc_roc(
     positive: int = 1,
     by: Sequence[str] = (),
     weight: str | None = None,
-    few_scores: bool = False,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Exact AUC of a scored table: raw scores, vote shares or hard votes."""
-    return auc_from(ranked(df, score, label, positive, by, weight, few_scores), by)
+    return auc_from(ranked(df, score, label, positive, by, weight, ranges), by)
 
 
 def roc_curve(cumulative: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -33,8 +33,8 @@ def ensemble_metrics(voted: DataFrame, label: str = "label") -> DataFrame:
 
 
 def vote_share_auc(voted: DataFrame, label: str = "label") -> DataFrame:
-    """One row: AUC of the share of positive votes; k voters give at most k + 1 scores."""
-    return auc_roc(voted, "vote_share", label, few_scores=True)
+    """One row: AUC of the share of positive votes."""
+    return auc_roc(voted, "vote_share", label)
 
 
 def ensemble_report(

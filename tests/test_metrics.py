@@ -63,10 +63,8 @@ def test_exact_auc_with_a_hot_score(scored):
 
 @pytest.mark.parametrize("ranges", [1, 2, 3, 17, 400])
 def test_auc_does_not_depend_on_the_ranges(scored, ranges):
-    bounds = ranking.score_bounds(scored, ranges=ranges)
-    cumulative = ranking.cumulative_counts(ranking.score_counts(scored), bounds)
-    want = ranking.auc_roc(scored, few_scores=True).first()["auc_roc"]
-    assert ranking.auc_from(cumulative).first()["auc_roc"] == pytest.approx(want, abs=1e-12)
+    want = ranking.auc_roc(scored, ranges=5).first()["auc_roc"]
+    assert ranking.auc_roc(scored, ranges=ranges).first()["auc_roc"] == pytest.approx(want, abs=1e-12)
 
 
 def test_missing_scores_rank_lowest(scored):
@@ -74,7 +72,6 @@ def test_missing_scores_rank_lowest(scored):
     filled = holes.fillna(-1.0, subset=["score"])
     want = ranking.auc_roc(filled).first()["auc_roc"]
     assert ranking.auc_roc(holes).first()["auc_roc"] == pytest.approx(want, abs=1e-12)
-    assert ranking.auc_roc(holes, few_scores=True).first()["auc_roc"] == pytest.approx(want, abs=1e-12)
     last = ranking.ranked(holes).orderBy(F.desc("tp"), F.desc("fp")).first()
     assert (last["tp"], last["fp"]) == (last["n_pos"], last["n_neg"])
     assert last["n_pos"] + last["n_neg"] == 6000
@@ -89,9 +86,42 @@ def test_auc_per_model(scored):
     assert got["up"] == pytest.approx(ranking.auc_roc(scored).first()["auc_roc"])
 
 
+@pytest.mark.parametrize("ranges", [1, 4, 50])
+def test_groups_are_ranked_apart_whatever_the_ranges(spark, ranges):
+    draw = random.Random(ranges)
+    made = []
+    for group in ["a", "b", None, "z"]:
+        n = {"a": 700, "b": 3, None: 90, "z": 1}[group]
+        made += [(group, draw.choice([0.5, 0.5, draw.random(), None, float("nan"), -0.0, 0.0]), draw.randrange(2)) for _ in range(n)]
+    df = spark.createDataFrame(made, "g string, score double, label int").repartition(6)
+    got = ranking.ranked(df, by=["g"], ranges=ranges).collect()
+
+    def key(score):
+        return float("-inf") if score is None else float("inf") if score != score else score + 0.0
+
+    want = set()
+    for group in ["a", "b", None, "z"]:
+        rows = [(key(s), y) for g, s, y in made if g == group]
+        for at in {s for s, _ in rows}:
+            tp, fp = (sum(1 for s, y in rows if s >= at and y == c) for c in (1, 0))
+            want.add((group, at, tp, fp, sum(y for _, y in rows), sum(1 - y for _, y in rows)))
+    found = {(r["g"], key(r["score"]), r["tp"], r["fp"], r["n_pos"], r["n_neg"]) for r in got}
+    assert found == want and len(got) == len(want)
+
+
+def test_rows_are_read_once_for_all_groups(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = lines.selectExpr("l_linestatus as g", "l_extendedprice as score", "int(l_tax > 0.04) as label")
+    df = ranking.auc_roc(lines, by=["g"])
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # Scores are reduced before they travel; the ranges' totals reuse that exchange.
+    assert plan.count("FileScan") == 1 and "partial_sum" in plan and "ReusedExchange" in plan
+
+
 def test_hard_vote_auc_is_ordinary_auc_of_the_vote(scored):
     hard = confusion.hard_vote_metrics(scored).first()["auc_roc"]
-    assert hard == pytest.approx(ranking.auc_roc(scored, score="prediction", few_scores=True).first()["auc_roc"])
+    assert hard == pytest.approx(ranking.auc_roc(scored, score="prediction").first()["auc_roc"])
     evaluator = BinaryClassificationEvaluator(rawPredictionCol="prediction", numBins=0)
     assert hard == pytest.approx(evaluator.evaluate(scored))
 
@@ -171,7 +201,7 @@ def test_metric_tables(spark):
     seven = tables.metrics_table(spark, [("lr", 0.1, 0.2, 0.3, 0.4, 0.5, 6.0)])
     eight = tables.metrics_table(spark, [("lr", 0.1, 0.2, 0.3, 0.4, 0.5, 6.0, 7)])
     assert len(seven.columns) == 7 and eight.columns[-1] == "training_samples"
-    assert not any(f.nullable for f in seven.schema)
+    assert [f.name for f in seven.schema if not f.nullable] == ["model", "training_time_seconds"]
 
 
 def test_metrics_read_the_data_once(spark, sf_dir):
