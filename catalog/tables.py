@@ -135,6 +135,33 @@ def batch_run_summary(spark, sf_dir):
     return counts.batch_run_summary(write_batches_verified(spark, sf_dir))
 
 
+IS_DAMAGED = "split = 'train' AND label = 1 AND batch = 2"
+
+
+@query(f"""{S.STORE} SELECT split, label, batch, NOT ({IS_DAMAGED}) AS was_ok, true AS is_ok, {IS_DAMAGED} AS rewritten
+FROM laid_out GROUP BY split, label, batch""")
+def rewrite_damaged_batch(spark, sf_dir):
+    """One batch gets other values in as many rows; it is found by its checksum and alone written again."""
+    rows = S.laid_out(spark, sf_dir)
+    path, manifest, seen, places = (sinks.shared_folder(spark) for _ in range(4))
+    sinks.write_with_manifest(rows, path, manifest)
+    other = rows.where(IS_DAMAGED).withColumn("features", F.transform("features", lambda x: x + F.lit(1.0).cast("float")))
+    other.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*sinks.FEATURE_LAYOUT).parquet(path)
+    sinks.write_table(sinks.check_batches(spark, path, manifest).withColumnRenamed("ok", "was_ok"), seen)
+
+    def files_of_batches(name: str):
+        return spark.read.parquet(path).groupBy(*sinks.FEATURE_LAYOUT).agg(
+            F.sort_array(F.collect_set("_metadata.file_path")).alias(name)
+        )
+
+    sinks.write_table(files_of_batches("before"), places)
+    now = sinks.rewrite_batches(rows, path, manifest).withColumnRenamed("ok", "is_ok")
+    keys = list(sinks.FEATURE_LAYOUT)
+    moved = spark.read.parquet(places).join(files_of_batches("after"), keys)
+    moved = moved.select(*keys, (F.col("before") != F.col("after")).alias("rewritten"))
+    return spark.read.parquet(seen).join(now, keys).join(moved, keys)
+
+
 @query(f"{S.PREDICTIONS} SELECT vec_id, label, prediction, round(score, 6) AS score FROM predictions")
 def save_predictions(spark, sf_dir):
     path = sinks.shared_folder(spark)
@@ -395,6 +422,14 @@ def batch_sizes(spark, sf_dir):
     return batches.batch_sizes(batches.with_batch(table(spark, sf_dir, "orders"), "o_orderkey"))
 
 
+@query(f"""SELECT o_orderkey, o_orderstatus, ((row_number() OVER (
+  PARTITION BY o_orderstatus ORDER BY {S.sql_hash('o_orderkey')}, o_orderkey) - 1) % 7 + 1)::INTEGER AS batch FROM orders""")
+def quota_batches(spark, sf_dir):
+    """Seven batches of orders that differ by one row at most in each status."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return batches.quota_batches(orders, "o_orderkey", 7, by=["o_orderstatus"])
+
+
 @query(f"""{S.STORE} SELECT vec_id, label, batch FROM laid_out WHERE batch <= 1""")
 def size_preset(spark, sf_dir):
     return batches.first_batches(S.laid_out(spark, sf_dir), 1).select("vec_id", "label", "batch")

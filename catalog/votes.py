@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import stand_ins as S
@@ -9,6 +11,7 @@ from catalog.registry import query, table
 from featurevote.functions.vectors import linear_score, logistic
 from featurevote.operators import confusion, ranking, summary
 from featurevote.operators import votes as O
+from featurevote.operators.sinks import shared_folder, write_table
 from featurevote.plans import ensemble
 
 METRICS = ("accuracy", "precision", "recall", "f1_score")
@@ -35,6 +38,18 @@ def align_votes(spark, sf_dir):
     return O.align_votes(S.order_votes(spark, sf_dir), ["o_orderkey", "label"])
 
 
+@query(f"WITH {S.ORDER_VOTES} SELECT * FROM aligned")
+def align_bucketed_votes(spark, sf_dir):
+    """The same from five tables that are saved in buckets by key."""
+    keys, run = ["o_orderkey", "label"], uuid.uuid4().hex
+    tables = []
+    for number, rows in S.order_votes(spark, sf_dir):
+        name = f"votes_{number}_{run}"
+        O.save_bucketed_votes(rows, name, keys, 8, path=shared_folder(spark))
+        tables.append((number, name))
+    return O.align_bucketed_votes(spark, tables, keys)
+
+
 @query(f"""WITH {S.ORDER_VOTES}
 SELECT o_orderkey, label, round((pred_1 + pred_2 + pred_3 + pred_4 + pred_5) / 5.0) AS ensemble_prediction
 FROM aligned""")
@@ -240,7 +255,9 @@ _PER_MODEL = f"""{S.MODEL_PREDICTIONS}, {S.sql_metrics("model_predictions", "lab
        round(recall, 6) AS recall, round(f1_score, 6) AS f1_score, round(auc_roc, 6) AS auc_roc
 FROM metrics JOIN auc USING (model)""")
 def model_metrics(spark, sf_dir):
-    metrics = summary.model_metrics(S.model_predictions(spark, sf_dir))
+    path = shared_folder(spark)
+    write_table(S.model_predictions(spark, sf_dir).drop("vec_id"), path)
+    metrics = summary.model_metrics(spark.read.parquet(path))
     return _rounded(metrics, *METRICS, "auc_roc")
 
 

@@ -31,10 +31,12 @@ def file_sizes(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def image_dimensions(images: DataFrame, by: Sequence[str] = (), image: str = "image") -> DataFrame:
-    """Images per group and size, so any statistic of the dimensions can follow from it."""
+def image_dimensions(images: DataFrame, by: Sequence[str] = (), image: str | None = "image") -> DataFrame:
+    """Images per group and size, so any statistic of the dimensions can follow from it. The size is that of
+    a decoded ``image``, or with None the columns height and width, as from ``prepare.with_header``."""
+    inside = f"{image}." if image else ""
     return images.groupBy(
-        *by, F.col(f"{image}.height").alias("height"), F.col(f"{image}.width").alias("width")
+        *by, F.col(f"{inside}height").alias("height"), F.col(f"{inside}width").alias("width")
     ).agg(F.count(F.lit(1)).alias("n_images"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featurevote.functions.headers import image_header
 from featurevote.functions.labels import label_from_path
 from featurevote.sources.files import read_images
 from featurevote.values import FILE_GLOB, LABEL_PATTERN
@@ -20,6 +21,17 @@ def with_validity(images: DataFrame, image: str = "image") -> DataFrame:
     return images.withColumn("is_valid", F.coalesce(valid, F.lit(False)))
 
 
+def with_header(files: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``format``, ``height``, ``width`` and ``is_valid`` of encoded images, read from their bytes
+    without decoding; a file that passes may still hold broken pixels."""
+    return files.withColumn("_header", image_header(F.col(content))).select(*files.columns, "_header.*")
+
+
+def prepare_files(files: DataFrame, path: str = "path", pattern: str = LABEL_PATTERN) -> DataFrame:
+    """Label and check a table of file bytes, and keep the valid ones; the bytes stay as they are."""
+    return valid_rows(with_header(with_label(files, path, pattern)))
+
+
 def valid_rows(df: DataFrame) -> DataFrame:
     return df.where("is_valid")
 

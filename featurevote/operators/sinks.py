@@ -121,6 +121,71 @@ def write_batches_verified(
     return counted.withColumn("ok", F.col("n_input") == F.col("n_saved"))
 
 
+def batch_checksums(df: DataFrame, partition_by: Sequence[str] = FEATURE_LAYOUT) -> DataFrame:
+    """(partition columns..., n_rows, checksum) for every batch: a sum of the rows' hashes over all columns, so
+    it depends on what the rows hold and on how often, and not on their order or files."""
+    keys = list(partition_by)
+    # By name, as a written table has its partition columns at the end.
+    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns) if c not in keys]).cast("decimal(38,0)")
+    stored = _as_stored(df, keys)
+    return df.groupBy(*stored).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row).alias("checksum"))
+
+
+def write_with_manifest(
+    df: DataFrame, path: str, manifest: str, partition_by: Sequence[str] = FEATURE_LAYOUT
+) -> DataFrame:
+    """Write batches, check their row counts, and keep their checksums as a table of their own; returns the
+    report of :func:`write_batches_verified`. The checksums are taken from what was written."""
+    report = write_batches_verified(df, path, partition_by)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    write_table(batch_checksums(written, partition_by), manifest)
+    return report
+
+
+def check_batches(
+    spark: SparkSession, path: str, manifest: str, partition_by: Sequence[str] = FEATURE_LAYOUT
+) -> DataFrame:
+    """(partition columns..., ok) for every batch of the manifest or the table: whether it holds just the rows
+    that it was written with. Batches that are missing, short, changed or not in the manifest are not ok."""
+    keys = list(partition_by)
+    known = spark.read.parquet(manifest)
+    now = batch_checksums(spark.read.schema(_stored_schema(spark, path, known, keys)).parquet(path), keys)
+    both = known.withColumn("_now", F.lit(0)).unionByName(now.withColumn("_now", F.lit(1)))
+    told = both.groupBy(*keys).agg(F.collect_set(F.struct("n_rows", "checksum")).alias("told"), F.count(F.lit(1)).alias("sides"))
+    return told.select(*keys, ((F.col("sides") == 2) & (F.size("told") == 1)).alias("ok"))
+
+
+def _stored_schema(spark: SparkSession, path: str, known: DataFrame, keys: Sequence[str]):
+    """The table's schema with its partition columns as the manifest has them: folder names alone do not
+    tell a number from a text."""
+    inferred = spark.read.parquet(path).schema
+    kinds = {f.name: f.dataType for f in known.schema if f.name in keys}
+    for field in inferred:
+        field.dataType = kinds.get(field.name, field.dataType)
+    return inferred
+
+
+def rewrite_batches(
+    df: DataFrame, path: str, manifest: str, partition_by: Sequence[str] = FEATURE_LAYOUT
+) -> DataFrame:
+    """Write those batches again that :func:`check_batches` finds wrong, and no others; returns the batches
+    (partition columns..., ok) after that. ``df`` holds the rows of all batches; only those of the wrong ones
+    are computed where it is pruned by its partition columns.
+
+    A run that was cut off is taken up by calling this again. Batches of the table that neither the
+    manifest nor ``df`` knows stay, and stay reported.
+    """
+    spark, keys = df.sparkSession, list(partition_by)
+    # One row for each wrong batch.
+    wrong = check_batches(spark, path, manifest, keys).where("NOT ok").select(*keys).collect()
+    if wrong:
+        stored = _as_stored(df, keys)
+        is_wrong = [reduce(lambda a, b: a & b, [c.eqNullSafe(F.lit(r[k])) for c, k in zip(stored, keys)]) for r in wrong]
+        again = df.where(reduce(lambda a, b: a | b, is_wrong))
+        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    return check_batches(spark, path, manifest, keys)
+
+
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 

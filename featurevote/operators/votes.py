@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featurevote.functions.vectors import rounded_mean
@@ -60,6 +60,43 @@ def align_votes(
     return wide.where(once).select(*keys, *names)
 
 
+def save_bucketed_votes(
+    votes: DataFrame,
+    table: str,
+    keys: Sequence[str],
+    buckets: int,
+    path: str | None = None,
+    prediction: str = "prediction",
+) -> None:
+    """Save a vote table in sorted buckets by its keys, under a name of the session's catalog.
+
+    Tables of one number of buckets can be aligned with no further shuffle, however often; saving costs one.
+    ``path`` puts the files there, else they are in the warehouse. Rows with a missing key are left out.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    rows = votes.where(known).select(*keys, F.col(prediction).cast("double").alias("prediction"))
+    # Dealt out as the buckets are, so that each bucket is one file.
+    writer = rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def align_bucketed_votes(
+    spark: SparkSession, tables: Sequence[tuple[int | str, str]], keys: Sequence[str]
+) -> DataFrame:
+    """Wide votes from tables saved by :func:`save_bucketed_votes`; the same rows as :func:`align_votes` gives.
+
+    Buckets of equal number meet each other, so neither the check for repeated keys nor the joins move a row.
+    """
+    error = F.raise_error(F.lit("a key has differing votes of one model")).cast("double")
+    sides = []
+    for model_id, table in tables:
+        low, high = F.min("prediction"), F.max("prediction")
+        vote = F.when(low != high, error).otherwise(high)
+        sides.append(spark.table(table).groupBy(*keys).agg(vote.alias(vote_name(model_id))))
+    wide = reduce(lambda a, b: a.hint("merge").join(b.hint("merge"), on=list(keys), how="inner"), sides)
+    return wide.select(*keys, *[vote_name(m) for m, _ in tables])
+
+
 def majority_vote(wide: DataFrame, model_ids: Sequence[int | str]) -> DataFrame:
     """Add ``ensemble_prediction`` (rounded mean) and ``vote_share``; row-local, no shuffle."""
     names = [F.col(vote_name(m)) for m in model_ids]

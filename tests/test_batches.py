@@ -1,5 +1,7 @@
 """Stable batches, verified writes, partition pruning, and label polarity."""
 
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from featurevote import values
 from featurevote.functions import labels as L
 from featurevote.functions import vectors as V
 from featurevote.operators import batches, sinks
+from featurevote.operators import votes as votes_ops
 from featurevote.sources import tables
 
 
@@ -132,3 +135,86 @@ def test_classes_per_batch(spark):
     df = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1)], "batch int, label int")
     rows = {r["batch"]: (r["n_classes"], r["n_rows"], r["trainable"]) for r in batches.classes_per_batch(df).collect()}
     assert rows == {1: (2, 2, True), 2: (1, 2, False)}
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 64])
+def test_quotas_differ_by_one_row_at_most(spark, ranges):
+    draw = random.Random(ranges)
+    rows = [(i, draw.choice(["hot", "hot", "hot", "cold", None]), "x") for i in range(2000)] + [(5000, "lone", "x")]
+    df = spark.createDataFrame(rows, "key int, label string, other string").repartition(5)
+    got = batches.quota_batches(df, "key", 7, by=["label"], ranges=ranges)
+    assert got.columns == ["key", "label", "other", "batch"] and got.count() == len(rows)
+    sizes = {}
+    for r in got.groupBy("label", "batch").count().collect():
+        sizes.setdefault(r["label"], []).append(r["count"])
+    assert all(max(s) - min(s) <= 1 and len(s) == 7 for label, s in sizes.items() if label != "lone") and sizes["lone"] == [1]
+    again = batches.quota_batches(df.orderBy("other", "key"), "key", 7, by=["label"], ranges=5)
+    assert sorted(got.collect(), key=str) == sorted(again.collect(), key=str)
+    whole = [r["count"] for r in batches.quota_batches(df, "key", 4).groupBy("batch").count().collect()]
+    assert sorted(whole) == [500, 500, 500, 501]
+
+
+def stored_batches(spark, path):
+    rows = [(i, float(i), "train" if i % 3 else "test", i % 2, i % 4) for i in range(400)] + [(999, 1.0, None, 0, 0)]
+    df = spark.createDataFrame(rows, "id int, value double, split string, label int, batch int")
+    sinks.write_with_manifest(df, f"{path}/table", f"{path}/manifest")
+    return df
+
+
+def wrong(spark, path):
+    found = sinks.check_batches(spark, f"{path}/table", f"{path}/manifest").where("not ok")
+    return sorted((r["split"], r["label"], r["batch"]) for r in found.collect())
+
+
+def test_changed_short_and_missing_batches_are_found_and_alone_rewritten(spark, tmp_path):
+    df, table = stored_batches(spark, tmp_path), tmp_path / "table"
+    assert wrong(spark, tmp_path) == []
+    layout = list(sinks.FEATURE_LAYOUT)
+
+    def put(rows):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*layout).parquet(str(table))
+
+    put(df.where("split = 'train' and label = 0 and batch = 2").withColumn("value", F.col("value") + (F.col("id") == 2).cast("int")))
+    put(df.where("split = 'test' and label = 1 and batch = 3 and id > 20"))
+    twice = df.where("split = 'train' and label = 1 and batch = 1")
+    put(twice.union(twice.limit(1)))
+    lost = table / "split=test" / "label=0" / "batch=0"
+    for part in lost.iterdir():
+        part.unlink()
+    damaged = [("test", 0, 0), ("test", 1, 3), ("train", 0, 2), ("train", 1, 1)]
+    assert wrong(spark, tmp_path) == damaged
+
+    def places():
+        return {p.relative_to(table): p.stat().st_mtime_ns for p in table.rglob("*.parquet")}
+
+    before = places()
+    told = sinks.rewrite_batches(df, str(table), f"{tmp_path}/manifest").collect()
+    assert all(r["ok"] for r in told) and len(told) == 9
+    touched = {str(p.parent) for p, time in places().items() if before.get(p) != time}
+    assert touched == {f"split={s}/label={la}/batch={b}" for s, la, b in damaged}
+    read = spark.read.schema(df.schema).parquet(str(table))
+    assert sorted(map(str, read.select(df.columns).collect())) == sorted(map(str, df.collect()))
+    more = df.limit(1).withColumn("batch", F.lit(77))
+    more.write.mode("append").partitionBy(*layout).parquet(str(table))
+    assert [b for _, _, b in wrong(spark, tmp_path)] == [77]
+
+
+def test_bucketed_votes_meet_without_an_exchange(spark, tmp_path):
+    draw = random.Random(8)
+    votes = []
+    for model in (1, 2, 3):
+        rows = [(k, k % 2, draw.choice([0.0, 1.0, None])) for k in range(500) if draw.random() < 0.8]
+        rows += [(None, 0, 1.0)] + rows[:5]
+        votes.append((model, spark.createDataFrame(rows, "key int, label int, prediction double")))
+    tables = []
+    for model, df in votes:
+        votes_ops.save_bucketed_votes(df, f"bucketed_{model}", ["key", "label"], 4, path=f"{tmp_path}/{model}")
+        tables.append((model, f"bucketed_{model}"))
+    aligned = votes_ops.align_bucketed_votes(spark, tables, ["key", "label"])
+    want = votes_ops.align_votes(votes, ["key", "label"])
+    assert sorted(map(str, aligned.collect())) == sorted(map(str, want.collect())) and aligned.count() > 100
+    assert "Exchange" not in aligned._jdf.queryExecution().executedPlan().toString()
+    clash = spark.createDataFrame([(1, 1, 0.0), (1, 1, 1.0)], "key int, label int, prediction double")
+    votes_ops.save_bucketed_votes(clash, "bucketed_clash", ["key", "label"], 4, path=f"{tmp_path}/clash")
+    with pytest.raises(Exception, match="differing votes"):
+        votes_ops.align_bucketed_votes(spark, [(1, "bucketed_clash")], ["key", "label"]).collect()
