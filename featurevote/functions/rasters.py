@@ -19,16 +19,56 @@ _LEVELS = np.arange(HISTOGRAM_BINS, dtype=np.float64)
 _WEIGHTS: dict[tuple[int, int], np.ndarray] = {}
 
 
-def to_rgb(data: bytes, height: int, width: int, n_channels: int) -> np.ndarray | None:
-    """Raster in RGB order from row-wise BGR(A) or grey bytes; None if it is not readable."""
+def _planes(data, height: int, width: int, n_channels: int) -> np.ndarray | None:
+    """(height, width, 3) in RGB order from row-wise BGR(A) bytes, (height, width, 1) from grey ones; None if
+    they are not readable. A view of the bytes."""
     if data is None or height <= 0 or width <= 0 or n_channels not in (1, 3, 4):
         return None
     if len(data) != height * width * n_channels:
         return None
     raster = np.frombuffer(data, dtype=np.uint8).reshape(height, width, n_channels)
-    if n_channels == 1:
-        return np.repeat(raster, 3, axis=2)
-    return raster[:, :, 2::-1]
+    return raster if n_channels == 1 else raster[:, :, 2::-1]
+
+
+def to_rgb(data: bytes, height: int, width: int, n_channels: int) -> np.ndarray | None:
+    """Raster in RGB order from row-wise BGR(A) or grey bytes; None if it is not readable."""
+    raster = _planes(data, height, width, n_channels)
+    return np.repeat(raster, 3, axis=2) if raster is not None and n_channels == 1 else raster
+
+
+def image_counts(
+    data, height: int, width: int, n_channels: int, resample: str | None, size: tuple[int, int]
+) -> np.ndarray | None:
+    """(3, 256) counts of the raster brought to ``size``, as of :func:`to_rgb`; None if it is not readable.
+
+    Grey is counted once. The nearest pixels are not copied out: a pixel counts as often as it is taken.
+    """
+    raster = _planes(data, height, width, n_channels)
+    if raster is None:
+        return None
+    if resample == "nearest":
+        counts = _nearest_counts(raster, *size)
+    else:
+        counts = channel_counts(resample_raster(raster, *size, resample) if resample else raster, raster.shape[2])
+    return np.repeat(counts, 3, axis=0) if n_channels == 1 else counts
+
+
+def _taken(size: int, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that nearest-pixel resampling takes, and how often each."""
+    places = ((np.arange(target) + 0.5) * size / target).astype(np.intp)
+    first = np.flatnonzero(np.diff(places, prepend=-1))
+    return places[first], np.diff(first, append=target)
+
+
+def _nearest_counts(raster: np.ndarray, height: int, width: int) -> np.ndarray:
+    rows, times_down = _taken(raster.shape[0], height)
+    cols, times_across = _taken(raster.shape[1], width)
+    taken = raster.take(rows, axis=0).take(cols, axis=1)
+    times = np.multiply.outer(times_down, times_across).reshape(-1)
+    planes = taken.reshape(-1, raster.shape[2])
+    return np.stack(
+        [np.bincount(planes[:, c], weights=times, minlength=HISTOGRAM_BINS) for c in range(planes.shape[1])]
+    ).astype(np.int64)
 
 
 def _cubic_weights(size: int, target: int) -> np.ndarray:

@@ -24,6 +24,7 @@ from featurevote.functions.rasters import (
     channel_counts,
     feature_rows,
     global_statistics,
+    image_counts,
     per_channel_statistics,
     resample_raster,
     standardized_tensor,
@@ -124,9 +125,11 @@ def image_features(
     @F.arrow_udf("array<double>")
     def extract(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array) -> pa.Array:
         counts = np.zeros((len(data), 3, HISTOGRAM_BINS), dtype=np.int64)
-        for i, raster in enumerate(_rasters(data, height, width, channels, resample)):
-            if raster is not None:
-                counts[i] = channel_counts(raster)
+        shapes = zip(height.to_pylist(), width.to_pylist(), channels.to_pylist())
+        for i, (scalar, (h, w, c)) in enumerate(zip(data, shapes)):
+            found = image_counts(scalar.as_buffer(), h or 0, w or 0, c or 0, resample, (IMAGE_HEIGHT, IMAGE_WIDTH))
+            if found is not None:
+                counts[i] = found
         return _list_array(feature_rows(counts, layout))
 
     return images.withColumns(
@@ -255,7 +258,7 @@ def is_readable(image: str = "image") -> Column:
 
 
 def standardized_channels(df: DataFrame, value_columns: tuple[str, str, str]) -> DataFrame:
-    """Replace three byte-valued channel columns by their standardized """
+    """Replace three byte-valued channel columns by their standardized values."""
     return df.withColumns(
         {
             name: standardized(F.col(name), mean, std)

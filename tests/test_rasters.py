@@ -123,3 +123,17 @@ def test_standardized_tensor():
 def test_no_bytes_give_zeros(layout):
     counts = rasters.channel_counts(np.zeros(0, dtype=np.uint8))[None]
     assert not rasters.feature_rows(counts, layout).any()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 600), st.sampled_from([1, 3, 4]), st.sampled_from(["nearest", "cubic", None]), st.integers(0, 99))
+def test_counts_equal_those_of_the_copied_raster(height, width, channels, method, seed):
+    data = np.random.default_rng(seed).integers(0, 256, height * width * channels, dtype=np.uint8).tobytes()
+    size = (224, 224) if method == "nearest" else (12, 20)
+    raster = rasters.to_rgb(data, height, width, channels)
+    if method:
+        raster = rasters.resample_raster(raster, *size, method)
+    got = rasters.image_counts(data, height, width, channels, method, size)
+    np.testing.assert_array_equal(got, rasters.channel_counts(raster))
+    assert rasters.image_counts(data[:-1], height, width, channels, method, size) is None
+    assert rasters.image_counts(None, height, width, channels, method, size) is None
