@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog import stand_ins as S
 from catalog.registry import query, table
-from featurevote.operators import explore, prepare
+from featurevote import values
+from featurevote.operators import explore, features, prepare
 
 FILES = """files AS (
   SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 'REAL' WHEN doc_id % 4 = 2 THEN 'FAKE' ELSE '' END AS label,
@@ -64,3 +66,71 @@ def prepare_files(spark, sf_dir):
 def image_dimensions(spark, sf_dir):
     """Images by size, valid and others apart."""
     return explore.image_dimensions(prepare.with_header(image_files(spark, sf_dir)), ["is_valid"], image=None)
+
+
+# Texts as one row of blue, green and red bytes; every seventh claims a second row that is not there.
+COLOURS = f"""{S.BYTES}, sizes AS (SELECT doc_id, count(*) // 3 AS w, doc_id % 7 <> 0 AND count(*) >= 3 AS is_valid FROM bytes GROUP BY doc_id),
+sound AS (SELECT doc_id, w FROM sizes WHERE is_valid)"""
+TOLD = """SELECT doc_id, is_valid, channel::INTEGER AS channel, coalesce(round(avg(level), 6), 0.0) AS mean,
+       coalesce(round(stddev_pop(level), 6), 0.0) AS std, coalesce(min(level), 0)::DOUBLE AS min, coalesce(max(level), 0)::DOUBLE AS max
+FROM (SELECT doc_id, is_valid, channel FROM sizes, range(3) AS c(channel)) LEFT JOIN pixels USING (doc_id, channel) GROUP BY ALL"""
+
+
+def _colours(spark, sf_dir, resample):
+    """(doc_id, is_valid, channel, mean, std, min, max) from the features of the texts as colour images."""
+    content = F.col("text").cast("binary")
+    width = F.floor(F.octet_length(content) / 3).cast("int")
+    image = F.struct(
+        F.when(F.col("doc_id") % 7 == 0, 2).otherwise(1).alias("height"),
+        width.alias("width"),
+        F.lit(3).alias("nChannels"),
+        F.substring(content, F.lit(1), 3 * width).alias("data"),
+    )
+    documents = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", image.alias("image"))
+    rows = features.image_features(documents, resample=resample)
+    first = 3 * values.HISTOGRAM_BINS
+    cells = [
+        F.struct(
+            F.lit(c).alias("channel"),
+            *[F.round(F.col("features")[first + 4 * c + i], 6).alias(n) for i, n in enumerate(features.CHANNEL_STATISTICS)],
+        )
+        for c in range(3)
+    ]
+    return rows.select("doc_id", "is_valid", F.inline(F.array(*cells)))
+
+
+@query(f"""{COLOURS}, pixels AS (
+  SELECT doc_id, 2 - pos % 3 AS channel, v AS level FROM bytes JOIN sound USING (doc_id) WHERE pos < 3 * w)
+{TOLD}""")
+def colour_features(spark, sf_dir):
+    """Colour images at their own size, readable and not."""
+    return _colours(spark, sf_dir, None)
+
+
+@query(f"""{COLOURS}, taken AS (
+  SELECT doc_id, floor((j + 0.5::DOUBLE) * w / 224)::BIGINT AS x, channel FROM sound, range(224) AS t(j), range(3) AS c(channel)),
+pixels AS (
+  SELECT t.doc_id, t.channel, v AS level FROM taken t JOIN bytes b ON b.doc_id = t.doc_id AND b.pos = 3 * x + 2 - t.channel)
+{TOLD}""")
+def colour_features_nearest(spark, sf_dir):
+    """Colour images brought to 224 x 224 by nearest pixel."""
+    return _colours(spark, sf_dir, "nearest")
+
+
+@query(f"""{COLOURS}, places AS (
+  SELECT doc_id, w, j, (j + 0.5::DOUBLE) * w / 224 AS centre, greatest(w / 224.0::DOUBLE, 1) AS stretch FROM sound, range(224) AS t(j)),
+near AS (
+  SELECT doc_id, j, x, abs((x + 0.5 - centre) / stretch) AS t
+  FROM (SELECT *, unnest(range(greatest(0, floor(centre - 2 * stretch) - 1)::BIGINT, least(w, ceil(centre + 2 * stretch) + 1)::BIGINT)) AS x
+        FROM places)),
+weights AS (
+  SELECT doc_id, j, x, CASE WHEN t < 1 THEN 1.5 * t * t * t - 2.5 * t * t + 1
+         WHEN t < 2 THEN -0.5 * t * t * t + 2.5 * t * t - 4 * t + 2 ELSE 0 END AS weight FROM near),
+pixels AS (
+  SELECT n.doc_id, 2 - pos % 3 AS channel, j,
+         least(255, greatest(0, floor(sum(weight * v) / sum(weight) + 0.5 + 1e-9))) AS level
+  FROM weights n JOIN bytes b ON b.doc_id = n.doc_id AND b.pos // 3 = n.x GROUP BY n.doc_id, 2 - pos % 3, j)
+{TOLD}""")
+def colour_features_cubic(spark, sf_dir):
+    """Colour images brought to 224 x 224 by cubic convolution."""
+    return _colours(spark, sf_dir, "cubic")

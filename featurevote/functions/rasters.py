@@ -88,7 +88,7 @@ def _new_cubic_weights(size: int, target: int) -> np.ndarray:
     near = 1.5 * t**3 - 2.5 * t**2 + 1.0
     far = -0.5 * t**3 + 2.5 * t**2 - 4.0 * t + 2.0
     weights = np.where(t < 1.0, near, np.where(t < 2.0, far, 0.0))
-    return (weights / weights.sum(axis=1, keepdims=True)).astype(np.float32)
+    return weights / weights.sum(axis=1, keepdims=True)
 
 
 def resample_raster(raster: np.ndarray, height: int, width: int, method: str = "cubic") -> np.ndarray:
@@ -101,14 +101,15 @@ def resample_raster(raster: np.ndarray, height: int, width: int, method: str = "
         cols = ((np.arange(width) + 0.5) * w / width).astype(np.intp)
         return raster.take(rows, axis=0).take(cols, axis=1)
     # Across first, then down, rounding to whole levels after each pass.
-    planes = raster.transpose(2, 0, 1).astype(np.float32)
+    planes = raster.transpose(2, 0, 1).astype(np.float64)
     across = _whole_levels(planes @ _cubic_weights(w, width).T)
     down = _whole_levels(_cubic_weights(h, height) @ across)
     return down.astype(np.uint8).transpose(1, 2, 0)
 
 
 def _whole_levels(planes: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(planes + np.float32(0.5)), 0, 255)
+    # The nearest level, halves up; the little on top makes a half one whatever the order of its sum.
+    return np.clip(np.floor(planes + (0.5 + 1e-9)), 0, 255)
 
 
 def channel_counts(interleaved: np.ndarray, n_channels: int = 3) -> np.ndarray:
