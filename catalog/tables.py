@@ -76,6 +76,18 @@ def scan_first_files(spark, sf_dir):
     return found.select(L.path_segment(F.col("path")).alias("name"), "length")
 
 
+@query("""SELECT lang, source, sum(strlen(text) + 1)::BIGINT AS length, sum(strlen(text) + 1)::BIGINT AS bytes_read
+FROM documents GROUP BY lang, source ORDER BY lang, source LIMIT 10""")
+def first_text_files(spark, sf_dir):
+    """The first ten of the text files by language and source, in path order; no other file is opened."""
+    root = sinks.shared_folder(spark)
+    texts = table(spark, sf_dir, "documents").select("lang", "source", "text")
+    texts.repartition("lang", "source").write.partitionBy("lang", "source").text(root)
+    found = files.read_first_files(spark, root, 10, name_glob="*.txt", recursive=True)
+    lang, origin = (F.regexp_extract("path", f"/{name}=([a-z0-9]+)/", 1) for name in ("lang", "source"))
+    return found.select(lang.alias("lang"), origin.alias("source"), "length", F.length("content").cast("bigint").alias("bytes_read"))
+
+
 @query(f"""{S.VOTES}, long AS (UNPIVOT (SELECT label, pred_1, pred_2, pred_3, pred_4, pred_5 FROM votes)
   ON pred_1, pred_2, pred_3, pred_4, pred_5 INTO NAME model VALUE prediction),
 {S.sql_metrics("long", "label", "prediction", "model")}

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurevote.operators.features import image_features
+from featurevote.operators.features import decoded_features, image_features
 from featurevote.operators.prepare import with_label
 from featurevote.operators.sinks import save_predictions
 from featurevote.plans.score import score
@@ -51,6 +51,38 @@ def predict_files(
     return spark.read.schema(predictions.select(*columns).schema).parquet(output_path)
 
 
+def byte_rows(
+    files: DataFrame,
+    decode: Callable | None = None,
+    layout: str = "per_channel",
+    resample: str | None = "cubic",
+    content: str = "content",
+) -> DataFrame:
+    """A table of encoded images, as ``sinks.ingest_files`` stores them, with ``features`` and ``is_valid``
+    in place of the bytes; every other column stays."""
+    return decoded_features(files, decode, content, layout, resample).drop(content)
+
+
+def predict_bytes(
+    files: DataFrame,
+    output_path: str,
+    model_path: str,
+    kind: str,
+    keep: list[str],
+    decode: Callable | None = None,
+    layout: str = "per_channel",
+    resample: str | None = "cubic",
+) -> DataFrame:
+    """Score a table of encoded images with a saved model and write the predictions: (keep..., is_valid,
+    prediction, probability). Files that cannot be decoded keep their row, without a prediction."""
+    rows = byte_rows(files, decode, layout, resample).select(*keep, "features", "is_valid")
+    scored = predict(rows, load_model(model_path, kind))
+    told = [F.when(F.col("is_valid"), F.col(c)).alias(c) for c in ("prediction", "probability")]
+    predictions = scored.select(*keep, "is_valid", *told)
+    save_predictions(predictions, output_path, predictions.columns)
+    return files.sparkSession.read.schema(predictions.schema).parquet(output_path)
+
+
 def embed_table(
     df: DataFrame,
     make_model: Callable,
