@@ -9,21 +9,24 @@ by expectation-maximisation on word counts, each round one Spark job.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from featurevote.llm.common import map_texts, written
+from featurevote.llm.common import map_texts, slices, written
 
 SAMPLE_DOCS = 300
 ROUNDS = 3
 SMOOTHING = 0.05
 UNKNOWN = 1e-9
-MEMO_WORDS = 500_000
+# Bytes of words that a worker keeps at most; a full memo starts anew.
+MEMO_BYTES = 64 << 20
+ENTRY_BYTES = 200
 BLOCK_CHARS = 1 << 20
 # Words of one length that take the forward pass together; longer or fewer ones take it one by one.
 TOGETHER, FEW_WORDS, LONG_WORD = 4096, 32, 64
@@ -63,12 +66,39 @@ def expected_pieces(word: str, chances: dict[str, float], longest: int) -> dict[
     for end in range(len(ends), 0, -1):
         for b, p in ends[end - 1]:
             backward[b] += backward[end] * (UNKNOWN if p is None else chances[p])
+    if forward[-1] < 1e-250:
+        return _expected_by_logs(ends, chances)
     found: dict[str, float] = {}
-    if forward[-1] > 0:
-        for end, cuts in enumerate(ends, 1):
-            for b, p in cuts:
-                if p is not None:
-                    found[p] = found.get(p, 0.0) + forward[b] * chances[p] * backward[end] / forward[-1]
+    for end, cuts in enumerate(ends, 1):
+        for b, p in cuts:
+            if p is not None:
+                found[p] = found.get(p, 0.0) + forward[b] * chances[p] * backward[end] / forward[-1]
+    return found
+
+
+def _log_sum(logs: list[float]) -> float:
+    top = max(logs)
+    return top + math.log(sum(math.exp(x - top) for x in logs))
+
+
+def _expected_by_logs(ends: list[list[tuple[int, str | None]]], chances: dict[str, float]) -> dict[str, float]:
+    """The same for words too improbable for floating point, as those of many unknown characters."""
+    log = {p: math.log(UNKNOWN if p is None else chances[p]) for cuts in ends for _, p in cuts}
+    forward = [0.0]
+    for cuts in ends:
+        forward.append(_log_sum([forward[b] + log[p] for b, p in cuts]))
+    onward: list[list[float]] = [[] for _ in forward]
+    backward = [0.0] * len(forward)
+    for end in range(len(ends), 0, -1):
+        if end < len(ends):
+            backward[end] = _log_sum(onward[end]) if onward[end] else -math.inf
+        for b, p in ends[end - 1]:
+            onward[b].append(backward[end] + log[p])
+    found: dict[str, float] = {}
+    for end, cuts in enumerate(ends, 1):
+        for b, p in cuts:
+            if p is not None:
+                found[p] = found.get(p, 0.0) + math.exp(forward[b] + log[p] + backward[end] - forward[-1])
     return found
 
 
@@ -81,7 +111,9 @@ class LanguageModel:
         # Row 0 stands for no piece, row 1 for an unknown character.
         count = len(languages)
         self.table = np.array([[0.0] * count, [UNKNOWN] * count, *rows.values()])
-        self.place = {p: k for k, p in enumerate(rows, 2)}
+        # Row 0 also stands for what only begins a piece; nothing else needs to be looked up any further.
+        self.place = {p[:k]: 0 for p in rows for k in range(1, len(p))}
+        self.place.update({p: k for k, p in enumerate(rows, 2)})
 
     def word(self, word: str) -> list[float]:
         """Log probability of a word in each language."""
@@ -110,18 +142,24 @@ class LanguageModel:
         sums = np.zeros((size + 1, len(words), len(self.languages)))
         sums[0] = 1.0
         offset = np.zeros((len(words), 1))
-        for end in range(1, size + 1):
-            total = sums[end]
-            for b in range(max(0, end - self.longest), end):
-                pieces = map(find, [m[b:end] for m in marked], repeat(0 if b < end - 1 else 1))
-                places = np.fromiter(pieces, np.int64, len(words))
-                hit = np.flatnonzero(places)
-                if len(hit):
-                    total[hit] += sums[b][hit] * self.table[places[hit]]
-            low = np.flatnonzero(total.max(axis=1) < 1e-120)
+        for start in range(size):
+            # All pieces that end here have been added, so the sums of this place are whole.
+            low = np.flatnonzero(sums[start].max(axis=1) < 1e-120)
             if len(low):
                 offset[low] -= 120 * math.log(10)
-                sums[max(0, end + 1 - self.longest) : end + 1, low] *= 1e120
+                sums[start:, low] *= 1e120
+            here, active = sums[start], np.arange(len(words))
+            for end in range(start + 1, min(size, start + self.longest) + 1):
+                parts = [marked[k][start:end] for k in active.tolist()]
+                places = np.fromiter(map(find, parts, repeat(-1)), np.int64, len(parts))
+                if end == start + 1:
+                    sums[end] += here * self.table[np.where(places > 1, places, 1)]
+                else:
+                    hit = places > 1
+                    sums[end, active[hit]] += here[active[hit]] * self.table[places[hit]]
+                active = active[places >= 0]
+                if not len(active):
+                    break
         return np.log(np.maximum(sums[-1], 1e-300)) + offset
 
 
@@ -132,6 +170,7 @@ class Scorer:
     def __init__(self, model: LanguageModel):
         self.model = model
         self.places: dict[str, int] = {}
+        self.held = 0
         self.known = np.zeros((1024, len(model.languages)))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -149,9 +188,9 @@ class Scorer:
         split = [t.split() if t and languages and any(map(str.isalpha, t)) else [] for t in texts]
         words = set(chain.from_iterable(split))
         new = words.difference(self.places)
-        if len(self.places) + len(new) > MEMO_WORDS:
-            self.places.clear()
-            new = words
+        if self.held >= MEMO_BYTES:
+            self.places, self.known, self.held, new = {}, self.known[:1024], 0, words
+        self.held += sum(map(len, new)) + ENTRY_BYTES * len(new)
         self._learn(list(new))
         found = []
         for text in split:
@@ -249,10 +288,10 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     model; ties go to the first language in order. Repeated rows are judged alike, an empty table
     gives no rows, and other columns are left behind.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.rows))
+    start = _starter(docs.sparkSession, model)
 
-    def start():
-        scorer = Scorer(LanguageModel(*shared.value))
+    def begin():
+        scorer = start()
 
         def work(texts):
             found = scorer(texts)
@@ -260,5 +299,28 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
         return work
 
-    fields = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
-    return map_texts(docs, id_col, text_col, fields, start)
+    return map_texts(docs, id_col, text_col, JUDGEMENT, begin)
+
+
+JUDGEMENT = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+
+
+def _starter(spark: SparkSession, model: LanguageModel):
+    shared = spark.sparkContext.broadcast((model.languages, model.rows))
+    return lambda: Scorer(LanguageModel(*shared.value))
+
+
+def judgement(spark: SparkSession, text: Column, model: LanguageModel) -> Column:
+    """(lang_pred, score) of a text column as :func:`predict` gives them, for rows whose other columns stay
+    where they are."""
+    start = _starter(spark, model)
+
+    @F.arrow_udf(StructType(JUDGEMENT))
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = start()
+        for texts in batches:
+            found = [f for part in slices(pa.record_batch([texts], ["text"]), 0) for f in scorer(part.column(0).to_pylist())]
+            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score"])
+
+    return judge(text.cast("string"))
