@@ -20,7 +20,11 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from featurevote.llm.common import map_texts, packed_lists, space_cuts, text_key
 
 STRIPE_BYTES = 64 << 20
-MEMO_CUTS = 600_000
+# Bytes that a worker keeps at most of cuts it has met; cuts longer than LONG are not kept.
+MEMO_BYTES = 128 << 20
+ENTRY_BYTES = 200
+LONG = 64
+MEMO_FIRSTS = 50_000
 
 
 class LibraryEncoder:
@@ -38,10 +42,14 @@ class LibraryEncoder:
         self.n_bytes = np.zeros(1 + max(sizes), dtype=np.int64)
         self.n_bytes[list(sizes)] = list(sizes.values())
         self.cuts: dict[str, bytes] = {}
+        self.held = 0
+        self.firsts: dict[str, bytes] = {}
 
     def ask(self, cuts: list[str]) -> list[bytes]:
         """The ids of each cut. The library gets all cuts as one text, which costs it much less than
         many short ones; every cut begins a piece, so none of its tokens reaches over a border."""
+        if not cuts:
+            return []
         ids = np.array(self.library.encode_batch_fast(["".join(cuts)], add_special_tokens=False)[0].ids, dtype=np.int32)
         reached = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
         ends = np.cumsum([len(c.encode()) for c in cuts])
@@ -55,16 +63,29 @@ class LibraryEncoder:
         if not text:
             return b""
         first, *cuts = space_cuts(text)
+        if self.held >= MEMO_BYTES:
+            self.cuts, self.held = {}, 0
         memo = self.cuts
-        got = list(map(memo.get, cuts))
-        if None in got:
-            new = list({c for c, ids in zip(cuts, got, strict=True) if ids is None})
-            if len(memo) + len(new) > MEMO_CUTS:
-                memo.clear()
-                new = list(set(cuts))
-            memo.update(zip(new, self.ask([" " + c for c in new]), strict=True))
-            got = list(map(memo.__getitem__, cuts))
-        return self.ask([first])[0] + b"".join(got)
+        found = list(map(memo.get, cuts))
+        if None in found:
+            new = list({c for c, ids in zip(cuts, found, strict=True) if ids is None})
+            fresh = dict(zip(new, self.ask([" " + c for c in new]), strict=True))
+            found = [fresh[c] if ids is None else ids for c, ids in zip(cuts, found, strict=True)]
+            kept = {c: ids for c, ids in fresh.items() if len(c) <= LONG}
+            memo.update(kept)
+            self.held += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
+        return self._first(first) + b"".join(found)
+
+    def _first(self, cut: str) -> bytes:
+        """The ids of the beginning of a text, which often begins others too."""
+        ids = self.firsts.get(cut)
+        if ids is None:
+            ids = self.ask([cut])[0]
+            if len(cut) <= LONG:
+                if len(self.firsts) >= MEMO_FIRSTS:
+                    self.firsts.clear()
+                self.firsts[cut] = ids
+        return ids
 
 
 @functools.lru_cache(maxsize=2)
@@ -102,6 +123,7 @@ def write_token_files(
         "doc_id",
         F.spark_partition_id().alias("file"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"),
+        F.size("ids").cast("long").alias("n_tokens"),
         "ids",
     )
     (
@@ -116,14 +138,15 @@ def write_token_files(
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, file, row, ids) of the files, in tasks by stripes; filters on doc_id are pushed down."""
+    """(doc_id, file, row, n_tokens, ids) of the files, in tasks by stripes; filters on doc_id are pushed down."""
     return spark.read.orc(path)
 
 
 def describe_token_files(tokens: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): where each document's ids stand in the sequence of all.
 
-    Running totals are taken within each file and lifted by the totals of the files before it.
+    Running totals are taken within each file and lifted by the totals of the files before it; totals
+    come from the column of sizes alone.
     """
     schema = StructType(
         [
@@ -137,16 +160,16 @@ def describe_token_files(tokens: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(3)
+            ids = batch.column(4)
             ends = np.asarray(ids.offsets).astype(np.int64)
             raw = memoryview(np.ascontiguousarray(np.asarray(ids.values), dtype="<u4")).cast("B")
             crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(np.diff(ends)), pa.array(crcs, pa.int64())], names=schema.names
+                [*batch.columns[:4], pa.array(crcs, pa.int64())], names=schema.names
             )
 
-    sized = tokens.select("doc_id", "file", "row", "ids").mapInArrow(run, schema)
-    totals = sized.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
+    sized = tokens.select("doc_id", "file", "row", "n_tokens", "ids").mapInArrow(run, schema)
+    totals = tokens.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
     # One row per file.
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("file", F.coalesce(F.sum("file_tokens").over(before), F.lit(0)).alias("file_start"))
