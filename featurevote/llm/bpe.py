@@ -7,7 +7,7 @@ ever join something across their border. Back-pointers from the end then give th
 no merge ever carried out on the text.
 
 Texts are cut into pieces by the pattern of the tokenizer first; pieces repeat, so each worker keeps
-a bounded memo of them.
+memos of them, bounded in bytes. Decoding needs the tokens' bytes only, so its workers hold no automaton.
 """
 
 from __future__ import annotations
@@ -19,18 +19,21 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from featurevote.llm.common import map_texts, packed_lists, space_cuts
 
 # Fixed value: the splitting pattern of byte-level vocabularies.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Entries that a worker keeps at most of each memo; a full one starts anew.
-MEMO_CUTS = 600_000
-MEMO_PIECES = 200_000
-MEMO_PAIRS = 500_000
+# Bytes that a worker keeps at most in the memos of cuts and pieces, and entries in those of pairs and of
+# steps along failure links; a full memo starts anew. What is longer than LONG is not kept.
+MEMO_BYTES = 144 << 20
+ENTRY_BYTES = 200
+MEMO_PAIRS = 200_000
+MEMO_STEPS = 100_000
+LONG = 64
 NEVER = 1 << 60
 
 
@@ -83,13 +86,14 @@ class ByteBpe:
         usable = [ids[t] for t, raw in vocab.items() if len(raw) == 1 or self._reachable(ids[t])]
         self._build_automaton(usable)
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.cuts: dict[str, bytes] = {}
+        self.held = 0
 
     def _build_automaton(self, tokens: list[int]) -> None:
         """States are the prefixes of tokens; `longest` has the longest token that a state ends with,
         `shorter` the next shorter token that a token ends with."""
         self.step: dict[int, int] = {}
+        self.far: dict[int, int] = {}
         own, parents = [-1], []
         node_of = {}
         for token in tokens:
@@ -110,7 +114,7 @@ class ByteBpe:
         for k in sorted(range(1, len(own)), key=depth.__getitem__):
             key = parents[k - 1]
             if key >> 8:
-                self.fail[k] = self._next(self.fail[key >> 8], key & 255, keep=False)
+                self.fail[k] = self._fail_of(key)
             if own[k] < 0:
                 own[k] = own[self.fail[k]]
         self.length = list(map(len, self.bytes_of))
@@ -118,16 +122,26 @@ class ByteBpe:
         for token, node in node_of.items():
             self.shorter[token] = own[self.fail[node]]
 
-    def _next(self, state: int, byte: int, keep: bool = True) -> int:
-        key = state << 8 | byte
-        after = self.step.get(key)
+    def _fail_of(self, key: int) -> int:
+        """The failure link of the state that `key`, a state and a byte, leads to; shorter ones are known."""
+        state, byte = self.fail[key >> 8], key & 255
+        after = self.step.get(state << 8 | byte)
         while after is None and state:
             state = self.fail[state]
             after = self.step.get(state << 8 | byte)
-        if keep:
-            self.step[key] = after or 0
         return after or 0
 
+    def _next(self, state: int, byte: int) -> int:
+        """Where a byte leads that does not go on from a state: along the failure links."""
+        key, after = state << 8 | byte, None
+        while after is None and state:
+            state = self.fail[state]
+            after = self.step.get(state << 8 | byte)
+        if len(self.far) >= MEMO_STEPS:
+            self.far.clear()
+        after = self.far[key] = after or 0
+        return after
+
     def _reachable(self, token: int) -> bool:
         """Whether the merges turn a token's own bytes into that token: undone step by step, no
         border of its parts may be crossed before the merge that joins them."""
@@ -164,10 +178,14 @@ class ByteBpe:
     def encode_piece(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8")
         last = [0] * (len(raw) + 1)
-        pairs, size, step, longest, length = self.pairs, self.size, self.step, self.longest, self.length
+        pairs, size, longest, length = self.pairs, self.size, self.longest, self.length
+        step, far = self.step, self.far
         state = 0
         for end, byte in enumerate(raw, 1):
-            after = step.get(state << 8 | byte)
+            key = state << 8 | byte
+            after = step.get(key)
+            if after is None:
+                after = far.get(key)
             state = self._next(state, byte) if after is None else after
             token = longest[state]
             while begin := end - length[token]:
@@ -202,39 +220,50 @@ class ByteBpe:
         there; these cuts are looked up as they are, and only new ones meet the pattern."""
         cuts = space_cuts(text)
         first = self._cut(cuts[0])
-        memo = self.cuts
-        got = list(map(memo.get, cuts[1:]))
+        got = list(map(self.cuts.get, cuts[1:]))
         if None in got:
             for k, ids in enumerate(got):
                 if ids is None:
                     got[k] = self._cut(" " + cuts[k + 1])
-                    if len(memo) >= MEMO_CUTS:
-                        memo.clear()
-                    memo[cuts[k + 1]] = got[k]
+                    self._keep(cuts[k + 1], got[k])
         return first + b"".join(got)
 
+    def _keep(self, cut: str, ids: bytes) -> None:
+        if len(cut) > LONG:
+            return
+        if self.held >= MEMO_BYTES:
+            self.cuts.clear()
+            self.held = 0
+        self.cuts[cut] = ids
+        self.held += len(cut) + len(ids) + ENTRY_BYTES
+
     def _cut(self, text: str) -> bytes:
-        if text[:1] == " " and text[1:].isalpha() and text.isascii():
-            return array("i", self.encode_piece(text)).tobytes()
-        memo, ids = self.pieces, []
-        for piece in self.pattern.findall(text):
-            got = memo.get(piece)
-            if got is None:
-                if len(memo) >= MEMO_PIECES:
-                    memo.clear()
-                got = memo[piece] = self.encode_piece(piece)
-            ids += got
+        ids = []
+        for piece in [text] if text[:1] == " " and text[1:].isalpha() and text.isascii() else self.pattern.findall(text):
+            ids += self.encode_piece(piece)
         return array("i", ids).tobytes()
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
-
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@functools.lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each token by its id, added tokens included."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
+    raw = {i: bytes(byte_of[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+    raw.update({t["id"]: t["content"].encode() for t in spec["added_tokens"]})
+    return [raw.get(i, b"") for i in range(1 + max(raw))]
+
+
+def decoded(ids: np.ndarray, raw: list[bytes]) -> str:
+    return b"".join(map(raw.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of each document's whole text, for a tokenizer file that all workers can read.
 
@@ -259,13 +288,31 @@ def decode(
     schema = StructType([*slim.schema.fields, StructField("text", StringType())])
 
     def run(batches):
-        bpe = vocabulary(tokenizer)
+        raw = token_bytes(tokenizer)
         for batch in batches:
             column = batch.column(1)
-            ends = np.asarray(column.offsets)
-            flat = np.asarray(column.values).tolist()
-            texts = [bpe.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            ends, flat = np.asarray(column.offsets), np.asarray(column.values)
+            # One document after the other, as ids take ten times the space once they are Python's.
+            texts = [decoded(flat[a:b], raw) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     out = slim.mapInArrow(run, schema)
     return out if keep_ids else out.drop("ids")
+
+
+def tokens_of(text: Column, tokenizer: str) -> Column:
+    """(ids, round_trip) of a text column, for rows whose other columns stay where they are: the ids of
+    :func:`encode`, and whether decoding them gives the text again, a missing text being an empty one."""
+    kind = StructType([StructField("ids", ArrayType(IntegerType(), False)), StructField("round_trip", BooleanType())])
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        bpe, raw = vocabulary(tokenizer), token_bytes(tokenizer)
+        rows, same = [], []
+        for scalar in texts:
+            own = scalar.as_py() or ""
+            rows.append(bpe.encode(own))
+            same.append(decoded(np.frombuffer(rows[-1], dtype=np.int32), raw) == own)
+        return pa.StructArray.from_arrays([packed_lists(rows), pa.array(same, pa.bool_())], ["ids", "round_trip"])
+
+    return run(text.cast("string"))

@@ -70,7 +70,7 @@ def components(sets):
 
 def test_registered_queries_have_all_columns(spark, sf_dir):
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -366,3 +366,47 @@ def test_words_judged_together_have_the_chances_of_words_judged_alone():
     texts = [None, "", "12", "ab a", " ".join(f"a{'b' * (k % 9)}" for k in range(500)), "a" * 500]
     assert scorer(texts) == [langid.Scorer(model)([t])[0] for t in texts]
     assert [f[0] == "und" for f in scorer(texts)] == [True, True, True, False, False, False]
+
+
+def test_memos_are_bounded_in_bytes_and_results_stay(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(400)) for _ in range(30)]
+    texts += ["x" * 5_000, f"a {'y' * 500} b", None, ""]
+    library = Tokenizer.from_file(public_tokenizers.path(BYTE_BPE))
+    ids = [np.array(library.encode(t or "", add_special_tokens=False).ids, np.int32).tobytes() for t in texts]
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "MEMO_STEPS", 50)
+    monkeypatch.setattr(bpe, "MEMO_PAIRS", 50)
+    monkeypatch.setattr(token_files, "MEMO_BYTES", 20_000)
+    monkeypatch.setattr(langid, "MEMO_BYTES", 20_000)
+    own, fast = bpe.ByteBpe(public_tokenizers.path(BYTE_BPE)), token_files.LibraryEncoder(public_tokenizers.path(BYTE_BPE))
+    for start in range(0, len(texts), 4):
+        part, want = texts[start : start + 4], ids[start : start + 4]
+        assert [own.encode(t) for t in part] == want == [fast.encode(t) for t in part]
+        assert len(own.cuts) <= 20_000 // bpe.ENTRY_BYTES + 1 and len(own.far) <= 50 and len(own.pairs) <= 50
+        assert all(len(c) <= 64 for c in own.cuts) and all(len(c) <= 64 for c in fast.cuts)
+    model = langid.LanguageModel(["x"], {"▁": (0.1,), "a": (0.3,), "b": (0.2,)})
+    scorer, alone = langid.Scorer(model), [langid.Scorer(model)([t])[0] for t in texts]
+    assert [scorer([t])[0] for t in texts] == alone and len(scorer.places) <= 400 + 20_000 // langid.ENTRY_BYTES
+
+
+def test_column_forms_equal_the_tables(spark, sf_dir, odd):
+    path = public_tokenizers.path(BYTE_BPE)
+    whole = odd.select("doc_id", "text", bpe.tokens_of(F.col("text"), path).alias("t")).select("doc_id", "text", "t.*").collect()
+    assert sorted(str(r.ids) for r in whole) == sorted(str(r.ids) for r in bpe.encode(odd, path).collect())
+    assert all(r.round_trip for r in whole)
+    model = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(PIECES), rounds=1)
+    column = odd.select("doc_id", langid.judgement(spark, F.col("text"), model).alias("f")).select("doc_id", "f.*").collect()
+    assert sorted(map(str, column)) == sorted(map(str, langid.predict(odd, model).collect()))
+
+
+def test_words_too_improbable_for_floating_point_still_count():
+    chances = {"▁": 0.1, "a": 0.3, "ab": 0.25, "b": 0.15}
+    for word in ("ab", "aab", "abab"):
+        ends = langid._lattice(word, chances, 2)
+        want = langid.expected_pieces(word, chances, 2)
+        got = langid._expected_by_logs(ends, chances)
+        assert want.keys() == got.keys() and all(np.isclose(want[p], got[p]) for p in want)
+    found = langid.expected_pieces("日" * 60 + "ab", chances, 2)
+    both = 0.3 * 0.15 + 0.25
+    assert np.isclose(found["ab"], 0.25 / both) and np.isclose(found["a"], 0.3 * 0.15 / both) and np.isclose(found["▁"], 1)
