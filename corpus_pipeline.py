@@ -27,9 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps documents with letters whose language is recognised; the models learn from the labels of
     all documents of the stage. Documents that no model favours, or without text, go."""
     model = langid.train(docs, public_tokenizers.path(PIECES))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = langid.predict(rows, model, id_col="row")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
+    found = docs.withColumn("_found", langid.judgement(spark, F.col("text"), model))
+    known = (F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= MIN_LANGUAGE_SCORE)
+    return found.where(known).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,17 +53,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives its text again."""
-    path = public_tokenizers.path(BYTE_BPE)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    decoded = bpe.decode(bpe.encode(rows, path, id_col="row"), path, id_col="row")
-    return decoded.select(
-        "row.doc_id",
-        "row.lang",
-        "row.source",
-        "row.n_chars",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        (F.col("text") == F.coalesce("row.text", F.lit(""))).alias("round_trip"),
+    found = docs.withColumn("_found", bpe.tokens_of(F.col("text"), public_tokenizers.path(BYTE_BPE)))
+    return found.select(
+        "doc_id",
+        "lang",
+        "source",
+        "n_chars",
+        F.size("_found.ids").cast("long").alias("n_tokens"),
+        "_found.ids",
+        "_found.round_trip",
     )
 
 
