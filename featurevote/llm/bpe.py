@@ -29,6 +29,7 @@ from featurevote.llm.common import map_texts, packed_lists, space_cuts
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Bytes that a worker keeps at most in the memos of cuts and pieces, and entries in those of pairs and of
 # steps along failure links; a full memo starts anew. What is longer than LONG is not kept.
+# Smaller memos take more time, as invented words come back: see the README for both figures.
 MEMO_BYTES = 144 << 20
 ENTRY_BYTES = 200
 MEMO_PAIRS = 200_000
