@@ -23,6 +23,8 @@ from featurevote.llm.common import written
 
 SHARD_ROWS = 4096
 LEAF_ROWS = 64
+# Just below 2^63, so that rounding of squared lengths cannot matter.
+LARGEST_SCORE = 0.999 * 2**63
 
 
 def integer_vector(vector: Column, scale: int) -> Column:
@@ -83,8 +85,10 @@ class BallTree:
         real = queries.astype(np.float64)
         lengths = np.sqrt((real**2).sum(axis=1))
         bounds = real @ self.centres.T + lengths[:, None] * self.radii[None, :]
-        # Scores are integers: what rounding can take from a bound is far below this.
-        bounds += 0.5 + 1e-9 * np.abs(bounds)
+        # Scores are integers. What rounding can take from a bound is far below this, as it is small beside
+        # the lengths that went into the sum, also where its terms cancel out.
+        reach = np.sqrt((self.centres**2).sum(axis=1)) + self.radii
+        bounds += 0.5 + 1e-9 * lengths[:, None] * reach[None, :]
         found = []
         for own, query, bound, floor in zip(query_rows, queries, bounds.tolist(), floors.tolist(), strict=True):
             best: list[int] = []
@@ -142,7 +146,8 @@ def top_k(
     repeated rows a query may find its copies, and repeated query ids give results each. Rows without
     an id, and vectors that are missing, empty or not finite, take no part; only vectors of one length
     are compared. With fewer candidates than k all are returned; an empty table gives no rows. Other
-    columns are left behind.
+    columns are left behind. Raises ValueError if a vector is so long that scores need not fit a long:
+    none is wrapped or rounded.
 
     Trees and query blocks are bounded by `shard_rows`; every block meets every shard once.
     """
@@ -152,7 +157,12 @@ def top_k(
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     ).where("id IS NOT NULL AND v IS NOT NULL")
     whole = written(whole.withColumn("row", F.monotonically_increasing_id()))
-    n_shards = max(1, -(-whole.count() // shard_rows))
+    # No inner product, nor a part of its sum, is larger than the largest squared length.
+    squared = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    rows, longest = whole.agg(F.count("*"), F.max(squared)).first()
+    if longest is not None and longest >= LARGEST_SCORE:
+        raise ValueError(f"inner products of up to {longest:.3g} do not fit a long: use a smaller scale than {scale}")
+    n_shards = max(1, -(-rows // shard_rows))
     dealt = whole.withColumn("width", F.size("v")).withColumn(
         "shard", F.pmod(F.xxhash64("row"), F.lit(n_shards)).cast("int")
     )
