@@ -71,49 +71,46 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 0, part_rows:
     """All rows and columns, with `shard` (0 to n_shards - 1) and `slot` (gapless from 0 in each shard).
 
     Shard sizes differ by one row at most; every assignment of rows to places is equally likely, up to
-    the quality of the hash. The result depends on the rows and the seed only, not on their layout, so
-    lost tasks give the same rows again. Equal rows, however many, are counted before the shuffle and
-    spread by their number; missing values and empty texts are values like others; columns named
-    `shard` or `slot` are replaced. An empty table gives an empty one. Columns must be groupable.
+    the quality of the hash. Rows are numbered as they are written to the shared folder first, and all
+    draws hang on that number and the seed: lost tasks give the same rows again, and equal rows, however
+    many, are drawn each on its own, so they make no part larger. Missing values and empty texts are
+    values like others; columns named `shard` or `slot` are replaced. An empty table gives an empty one.
 
+    Whole rows are exchanged twice, by part and by shard; the sizes of both come from the numbers alone.
     The driver holds one count for each part and shard. A part has about `part_rows` rows.
     """
     spark = df.sparkSession
     # The row as one value, so that no column name can clash.
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")])
-    grouped = df.select(row.alias("row")).groupBy("row").agg(F.count("*").alias("copies"))
-    copies = grouped.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    rows = df.count()
+    held = written(df.select(row.alias("row"), F.monotonically_increasing_id().alias("number")))
+    rows = held.count()
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // part_rows))
 
     def drawn(step: int):
-        return F.xxhash64(F.lit(seed), F.lit(step), "row", "copy")
-
-    parted = written(
-        copies.select(
-            "row",
-            F.pmod(drawn(1), F.lit(n_parts)).cast("int").alias("part"),
-            drawn(2).alias("order"),
-            F.pmod(drawn(3), F.lit(n_parts)).cast("int").alias("bucket"),
-            drawn(4).alias("place"),
-        )
-    )
-    sizes = {r["part"]: r["rows"] for r in parted.groupBy("part").agg(F.count("*").alias("rows")).collect()}
+        return F.xxhash64(F.lit(seed), F.lit(step), "number")
+
+    part = F.pmod(drawn(1), F.lit(n_parts)).cast("int").alias("part")
+    sizes = {r["part"]: r["rows"] for r in held.groupBy(part).agg(F.count("*").alias("rows")).collect()}
     parts = sorted(sizes)
     shards = [rows // n_shards + (s < rows % n_shards) for s in range(n_shards)]
     matrix = communication_matrix([sizes[p] for p in parts], shards, seed)
     ends = [(p, list(accumulate(counts))) for p, counts in zip(parts, matrix, strict=True)]
     cuts = spark.createDataFrame(ends, "part int, ends array<long>")
 
-    permuted = Window.partitionBy("part").orderBy("order", "place")
-    numbered = parted.withColumn("number", F.row_number().over(permuted)).join(cuts, "part")
-    sent = numbered.withColumn("shard", F.size(F.filter("ends", lambda end: end < F.col("number"))))
+    def sent(numbered: DataFrame) -> DataFrame:
+        """Each part permuted and cut by its counts; the buckets are those that the shards are permuted in."""
+        permuted = Window.partitionBy("part").orderBy("order", "number")
+        bucket = F.pmod(drawn(3), F.lit(n_parts)).cast("int").alias("bucket")
+        placed = numbered.select("*", part, drawn(2).alias("order"))
+        placed = placed.withColumn("at", F.row_number().over(permuted)).join(cuts, "part")
+        shard = F.size(F.filter("ends", lambda end: end < F.col("at"))).alias("shard")
+        return placed.select(*numbered.columns, shard, bucket)
 
-    again = Window.partitionBy("shard", "bucket").orderBy("place", "order")
-    placed = written(sent.select("row", "shard", "bucket", (F.row_number().over(again) - 1).alias("in_bucket")))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
+    offsets = sent(held.select("number")).groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
     offsets = offsets.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    return placed.join(offsets, ["shard", "bucket"]).select(
+    again = Window.partitionBy("shard", "bucket").orderBy("place", "number")
+    permuted = sent(held).withColumn("place", drawn(4)).withColumn("in_bucket", F.row_number().over(again) - 1)
+    return permuted.join(offsets, ["shard", "bucket"]).select(
         "row.*", "shard", (F.col("offset") + F.col("in_bucket")).alias("slot")
     )

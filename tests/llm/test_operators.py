@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -100,6 +101,27 @@ def test_sharding_of_odd_rows(spark, odd):
     assert set(out.columns) == {*odd.columns, "slot"}
     assert sorted(r.shard for r in out.collect()) == [0, 0, 0, 1, 1, 1, 2, 2]
     assert sharding.shuffle_into_shards(odd.limit(0), 3).count() == 0
+    kept = [c for c in odd.columns if c != "shard"]
+    assert sorted(map(repr, out.select(kept).collect())) == sorted(map(repr, odd.select(kept).collect()))
+
+
+def test_shards_are_a_uniform_draw_of_equal_and_different_rows(spark):
+    """Chi-square over shards and thirds of the slots, 4 degrees of freedom each, for the first rows of
+    the input in many seeds; equal rows spread over shards like others."""
+    rows = spark.createDataFrame([(i, "x" * 50) for i in range(30)] + [(99, "same")] * 300, "n long, text string").coalesce(1)
+    seen, copies = np.zeros((3, 3)), np.zeros(3)
+    for seed in range(12):
+        out = sharding.shuffle_into_shards(rows, 3, seed, part_rows=50)
+        assert out.groupBy("shard").count().where("count <> 110").count() == 0
+        for r in out.select("n", "shard", "slot").collect():
+            if r.n < 30:
+                seen[r.shard, min(r.slot // 37, 2)] += 1
+            else:
+                copies[r.shard] += 1
+    spread = ((seen - 40) ** 2 / 40).sum()
+    assert seen.sum() == 360 and spread < 27, seen
+    # 1,200 copies of a shard expected; sampling without return makes the spread smaller than a binomial's.
+    assert copies.sum() == 3600 and abs(copies - 1200).max() < 60
 
 
 def test_bpe_equals_the_library(spark, sf_dir, texts, odd):
@@ -250,6 +272,25 @@ def test_top_k_equals_brute_force_with_ties_and_small_shards(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components_is_exact_or_refused(spark):
+    rng = np.random.default_rng(5)
+    ints = rng.integers(-(10**9), 10**9, size=(400, 6))
+    # A ball far out that lies almost across the last row: the terms of its bound cancel out.
+    ints[:40] = [10**9, -(10**9), 3, 1, 0, 0] + rng.integers(0, 3, size=(40, 6))
+    ints[399] = [10**9, 10**9, 0, 0, 0, 0]
+    df = spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(ints)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id").isin(0, 50, 399), k=7, scale=1, shard_rows=90).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.score, r.vec_id))
+    for q in (0, 50, 399):
+        exact = [(sum(int(a) * int(b) for a, b in zip(ints[q], v, strict=True)), i) for i, v in enumerate(ints) if i != q]
+        assert found[q] == sorted(exact, key=lambda x: (-x[0], x[1]))[:7]
+    for size in (1e8, 1e17, 1e300):
+        large = spark.createDataFrame([(0, [size, -size]), (1, [size, size])], "vec_id long, embedding array<double>")
+        with pytest.raises(ValueError, match="do not fit a long"):
+            topk.top_k(large, F.col("vec_id") == 0, k=1)
+
+
 def test_languages_are_learned_from_labels(spark, sf_dir, odd):
     rows = QUERIES["op8_language_id"](spark, sf_dir).collect()
     labels = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{sf_dir}/documents.parquet'").fetchall())
@@ -332,6 +373,24 @@ def test_decontamination_of_short_items_and_odd_rows(spark):
     assert got == sorted((str(i), *brute_hits(t, items)) for i, t in docs)
     none = decontam.benchmark_hits(df, spark.createDataFrame([], "item_id long, text string")).collect()
     assert len(none) == len(docs) and not any(r.contaminated for r in none)
+    stretches = decontam.benchmark_hits(df, spark.createDataFrame(items, "item_id long, text string").withColumn("id", F.lit(0)))
+    by_text = {(r.doc_id, r.n_words): [tuple(s) for s in r.spans] for r in stretches.collect()}
+    assert by_text[1, 5] == [(1, 3)] and by_text[2, 6] == [(3, 5)] and by_text[5, 3] == [(1, 2)]
+    assert decontam.benchmark_hits(df.limit(0), benchmark=spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_decontamination_of_repeated_words_and_rows_takes_seconds(spark):
+    """30,000 repeated words against repeated items of 10,000: places of both sides never meet in pairs."""
+    cycle = " ".join(f"w{i % 7}" for i in range(10_000))
+    items = [(1, "a " * 10_000), (2, cycle), (3, "a " * 400 + "b"), (4, "a " * 400)]
+    docs = [(1, "a " * 30_000), (2, cycle * 3), (3, "b " + "a " * 9 + "c"), (4, "a " * 12 + "b")] + [(5, "x " + "a " * 10 + "y")] * 50
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    begun = time.monotonic()
+    got = decontam.benchmark_hits(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert time.monotonic() - begun < 60
+    wanted = [(i, *brute_hits(t, items)) for i, t in docs]
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == sorted(wanted)
+    assert {tuple(map(tuple, r.spans)) for r in got if r.doc_id in (1, 5)} == {((0, 29_999),), ((1, 10),)}
 
 
 def test_pipeline_equals_brute_force(spark, sf_dir, texts):
