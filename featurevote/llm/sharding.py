@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from featurevote.llm.common import written
 
-PART_ROWS = 50_000
+BUCKET_ROWS = 50_000
+# Fixed value: the bits below the partition in monotonically_increasing_id.
+PLACE_BITS = 33
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -67,50 +69,51 @@ def communication_matrix(parts: list[int], shards: list[int], seed: int) -> list
     return matrix
 
 
-def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All rows and columns, with `shard` (0 to n_shards - 1) and `slot` (gapless from 0 in each shard).
 
     Shard sizes differ by one row at most; every assignment of rows to places is equally likely, up to
-    the quality of the hash. Rows are numbered as they are written to the shared folder first, and all
-    draws hang on that number and the seed: lost tasks give the same rows again, and equal rows, however
-    many, are drawn each on its own, so they make no part larger. Missing values and empty texts are
-    values like others; columns named `shard` or `slot` are replaced. An empty table gives an empty one.
-
-    Whole rows are exchanged twice, by part and by shard; the sizes of both come from the numbers alone.
-    The driver holds one count for each part and shard. A part has about `part_rows` rows.
+    the quality of the hash. The parts are the input's partitions: each is permuted as it is written to
+    the shared folder with the places of its rows, and all else hangs on these places and the seed, so
+    lost tasks give the same rows again. Equal rows, however many, are drawn each on its own and make no
+    part larger. Missing values and empty texts are values like others; columns named `shard` or `slot`
+    are replaced. An empty table gives an empty one.
+
+    Whole rows are exchanged once, into the shards' buckets of about `bucket_rows` rows; the sizes of
+    parts and buckets come from the places alone. The driver holds one count for each part and shard.
     """
     spark = df.sparkSession
-    # The row as one value, so that no column name can clash.
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")])
-    held = written(df.select(row.alias("row"), F.monotonically_increasing_id().alias("number")))
-    rows = held.count()
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // part_rows))
 
     def drawn(step: int):
-        return F.xxhash64(F.lit(seed), F.lit(step), "number")
+        return F.xxhash64(F.lit(seed), F.lit(step), "place")
 
-    part = F.pmod(drawn(1), F.lit(n_parts)).cast("int").alias("part")
+    # The row as one value, so that no column name can clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")])
+    numbered = df.select(row.alias("row"), F.monotonically_increasing_id().alias("place"))
+    permuted = numbered.sortWithinPartitions(drawn(1), "place")
+    # A place is the partition's number above PLACE_BITS, and below it the row's place after the sort.
+    held = written(permuted.select("row", F.monotonically_increasing_id().alias("place")))
+    part = F.shiftright("place", PLACE_BITS).cast("int").alias("part")
     sizes = {r["part"]: r["rows"] for r in held.groupBy(part).agg(F.count("*").alias("rows")).collect()}
-    parts = sorted(sizes)
+    rows, parts = sum(sizes.values()), sorted(sizes)
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // bucket_rows))
     shards = [rows // n_shards + (s < rows % n_shards) for s in range(n_shards)]
     matrix = communication_matrix([sizes[p] for p in parts], shards, seed)
     ends = [(p, list(accumulate(counts))) for p, counts in zip(parts, matrix, strict=True)]
     cuts = spark.createDataFrame(ends, "part int, ends array<long>")
 
-    def sent(numbered: DataFrame) -> DataFrame:
-        """Each part permuted and cut by its counts; the buckets are those that the shards are permuted in."""
-        permuted = Window.partitionBy("part").orderBy("order", "number")
-        bucket = F.pmod(drawn(3), F.lit(n_parts)).cast("int").alias("bucket")
-        placed = numbered.select("*", part, drawn(2).alias("order"))
-        placed = placed.withColumn("at", F.row_number().over(permuted)).join(cuts, "part")
-        shard = F.size(F.filter("ends", lambda end: end < F.col("at"))).alias("shard")
-        return placed.select(*numbered.columns, shard, bucket)
+    def sent(rows: DataFrame) -> DataFrame:
+        """Each part cut by its counts; the buckets are those that the shards are permuted in."""
+        at = F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+        shard = F.size(F.filter("ends", lambda end: end <= at)).alias("shard")
+        bucket = F.pmod(drawn(2), F.lit(n_buckets)).cast("int").alias("bucket")
+        return rows.withColumn("part", part).join(cuts, "part").select(*rows.columns, shard, bucket)
 
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sent(held.select("number")).groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
+    offsets = sent(held.select("place")).groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
     offsets = offsets.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    again = Window.partitionBy("shard", "bucket").orderBy("place", "number")
-    permuted = sent(held).withColumn("place", drawn(4)).withColumn("in_bucket", F.row_number().over(again) - 1)
-    return permuted.join(offsets, ["shard", "bucket"]).select(
+    again = Window.partitionBy("shard", "bucket").orderBy("order", "place")
+    placed = sent(held).withColumn("order", drawn(3)).withColumn("in_bucket", F.row_number().over(again) - 1)
+    return placed.join(offsets, ["shard", "bucket"]).select(
         "row.*", "shard", (F.col("offset") + F.col("in_bucket")).alias("slot")
     )

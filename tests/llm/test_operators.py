@@ -108,10 +108,10 @@ def test_sharding_of_odd_rows(spark, odd):
 def test_shards_are_a_uniform_draw_of_equal_and_different_rows(spark):
     """Chi-square over shards and thirds of the slots, 4 degrees of freedom each, for the first rows of
     the input in many seeds; equal rows spread over shards like others."""
-    rows = spark.createDataFrame([(i, "x" * 50) for i in range(30)] + [(99, "same")] * 300, "n long, text string").coalesce(1)
+    rows = spark.createDataFrame([(i, "x" * 50) for i in range(30)] + [(99, "same")] * 300, "n long, text string").coalesce(2)
     seen, copies = np.zeros((3, 3)), np.zeros(3)
     for seed in range(12):
-        out = sharding.shuffle_into_shards(rows, 3, seed, part_rows=50)
+        out = sharding.shuffle_into_shards(rows, 3, seed, bucket_rows=50)
         assert out.groupBy("shard").count().where("count <> 110").count() == 0
         for r in out.select("n", "shard", "slot").collect():
             if r.n < 30:
