@@ -100,7 +100,8 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 0, bucket_rows
     shards = [rows // n_shards + (s < rows % n_shards) for s in range(n_shards)]
     matrix = communication_matrix([sizes[p] for p in parts], shards, seed)
     ends = [(p, list(accumulate(counts))) for p, counts in zip(parts, matrix, strict=True)]
-    cuts = spark.createDataFrame(ends, "part int, ends array<long>")
+    # As a table its size is known, so whole rows need no exchange to meet it while it is small.
+    cuts = written(spark.createDataFrame(ends, "part int, ends array<long>"))
 
     def sent(rows: DataFrame) -> DataFrame:
         """Each part cut by its counts; the buckets are those that the shards are permuted in."""
