@@ -209,7 +209,7 @@ def ingest_files(spark, sf_dir):
     sinks.ingest_files(spark, source, target, "*.txt", split=split, label=label)
     raw = files.read_files(spark, source, "*.txt", recursive=True)
     raw = raw.withColumns({"split": split, "label": label})
-    checked = sinks.verify_ingest(raw, spark.read.parquet(target))
+    checked = sinks.verify_ingest(raw, sinks.read_ingested(spark, target))
     return checked.select("label", "split", "source_bytes", "target_bytes", "complete")
 
 

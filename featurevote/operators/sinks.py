@@ -22,6 +22,8 @@ from featurevote.sources.files import file_status, read_files, read_first_files,
 from featurevote.values import FILE_GLOB, LABEL_PATTERN, SPLIT_PATTERN
 
 FEATURE_LAYOUT = ("split", "label", "batch")
+# What ingest_files writes.
+INGESTED = "path string, modificationTime timestamp, length bigint, content binary, stored int, split string, label string"
 
 
 @functools.cache
@@ -248,6 +250,12 @@ def ingest_files(
     return stats.first().asDict()
 
 
+def read_ingested(spark: SparkSession, target: str) -> DataFrame:
+    """A table of :func:`ingest_files`. Its schema is given, as a run of which every file failed leaves no
+    Parquet file to tell it."""
+    return spark.read.schema(INGESTED).parquet(target)
+
+
 def ingest_status(
     spark: SparkSession,
     source: str,
@@ -257,7 +265,7 @@ def ingest_status(
 ) -> DataFrame:
     """(path, length, bytes, error), one row for each file below ``source``: what ``target`` holds of it."""
     listed = read_files(spark, source, name_glob, recursive=True)
-    return file_status(listed, spark.read.parquet(target), max_bytes)
+    return file_status(listed, read_ingested(spark, target), max_bytes)
 
 
 def verify_ingest(

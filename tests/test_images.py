@@ -174,6 +174,19 @@ def test_a_broken_file_is_reported_and_does_not_stop_the_run(spark, tmp_path):
     assert told["a.jpg"]["error"] == "cut short" and told["d.jpg"]["error"] is None
 
 
+def test_a_run_of_which_every_file_failed_has_a_status(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    for name in ("train/REAL/a.bin", "test/FAKE/b.bin"):
+        (source / name).parent.mkdir(parents=True, exist_ok=True)
+        (source / name).write_bytes(b"0123456789")
+    stats = sinks.ingest_files(spark, str(source), target, "*.bin", max_bytes=9)
+    assert stats == {"total_files": 2, "total_size": 20, "failed_files": 2}
+    status = by_name(sinks.ingest_status(spark, str(source), target, "*.bin", max_bytes=9), "length", "bytes", "error")
+    assert {n: tuple(r)[1:] for n, r in status.items()} == {n: (10, None, "too long") for n in ("a.bin", "b.bin")}
+    raw = files.read_files(spark, str(source), "*.bin", recursive=True).withColumns({"split": F.lit("s"), "label": F.lit("l")})
+    assert [tuple(r) for r in sinks.verify_ingest(raw, sinks.read_ingested(spark, target)).collect()] == [("s", "l", 2, 20, 0, 0, False)]
+
+
 def test_kernel_runs_once_and_only_where_needed(spark, folder):
     rows = features.image_features(prepare.with_label(files.read_images(spark, folder, "*.png")))
 
