@@ -42,10 +42,11 @@ def align_votes(spark, sf_dir):
 def align_bucketed_votes(spark, sf_dir):
     """The same from five tables that are saved in buckets by key."""
     keys, run = ["o_orderkey", "label"], uuid.uuid4().hex
-    tables = []
-    for number, rows in S.order_votes(spark, sf_dir):
+    votes, tables = S.order_votes(spark, sf_dir), []
+    buckets = O.bucket_count([rows for _, rows in votes], 8)
+    for number, rows in votes:
         name = f"votes_{number}_{run}"
-        O.save_bucketed_votes(rows, name, keys, 8, path=shared_folder(spark))
+        O.save_bucketed_votes(rows, name, keys, buckets, path=shared_folder(spark))
         tables.append((number, name))
     return O.align_bucketed_votes(spark, tables, keys)
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from featurevote.functions.vectors import rounded_mean
 
 
+# Rows of a vote table that a bucket is to hold: a task that aligns tables aggregates and sorts a bucket of each.
+BUCKET_ROWS = 1 << 17
+
+
 def vote_name(model_id: int | str) -> str:
     return f"pred_{model_id}"
 
@@ -60,6 +64,13 @@ def align_votes(
     return wide.where(once).select(*keys, *names)
 
 
+def bucket_count(votes: Sequence[DataFrame], least: int = 1, rows: int = BUCKET_ROWS) -> int:
+    """Buckets for vote tables that are to be aligned: as many as keep a bucket of the largest one to about ``rows``
+    rows, so that what a task holds does not grow with the tables; ``least`` for small ones."""
+    counts = reduce(lambda a, b: a.unionAll(b), [df.agg(F.count(F.lit(1)).alias("n")) for df in votes])
+    return max(least, -(-counts.agg(F.max("n")).first()[0] // rows))
+
+
 def save_bucketed_votes(
     votes: DataFrame,
     table: str,
@@ -71,6 +82,7 @@ def save_bucketed_votes(
     """Save a vote table in sorted buckets by its keys, under a name of the session's catalog.
 
     Tables of one number of buckets can be aligned with no further shuffle, however often; saving costs one.
+    :func:`bucket_count` gives a number that suits all of them.
     ``path`` puts the files there, else they are in the warehouse. Rows with a missing key are left out.
     """
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])

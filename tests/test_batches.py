@@ -218,3 +218,10 @@ def test_bucketed_votes_meet_without_an_exchange(spark, tmp_path):
     votes_ops.save_bucketed_votes(clash, "bucketed_clash", ["key", "label"], 4, path=f"{tmp_path}/clash")
     with pytest.raises(Exception, match="differing votes"):
         votes_ops.align_bucketed_votes(spark, [(1, "bucketed_clash")], ["key", "label"]).collect()
+
+
+def test_buckets_grow_with_the_largest_vote_table(spark):
+    votes = [spark.range(n).selectExpr("id AS key", "1.0D AS prediction") for n in (10, 1001, 0)]
+    assert votes_ops.bucket_count(votes, rows=100) == 11
+    assert votes_ops.bucket_count(votes, 8) == 8
+    assert votes_ops.bucket_count(votes[2:]) == 1
