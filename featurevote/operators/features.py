@@ -1,8 +1,9 @@
 """Bytes and images to fixed-width feature arrays, one Arrow pass, no shuffle.
 
 Only the raster column crosses to the Python worker; keys, labels and batches stay in the
-JVM. Each row is reduced to 256-bin counts as soon as it is seen, so a batch never holds
-more than its own input and its output.
+JVM. Each row is reduced to 256-bin counts as soon as it is seen, and an Arrow batch is worked
+off in slices of SLICE_ROWS rows: a row's counts and features take far more space than most
+rasters, so a worker never holds those of a whole batch.
 
 ``is_valid`` is a JVM expression on lengths and sizes. A filter on it therefore moves below
 the kernel instead of running the kernel a second time, and counting rows runs no kernel.
@@ -48,6 +49,8 @@ GLOBAL_STATISTICS = (
     "mean", "std", "min", "max", "median", "p25", "p75", "var", "range", "sum", "len", "nonzero",
 )
 CHANNEL_STATISTICS = ("mean", "std", "min", "max")
+# Rows whose counts and features a worker holds at once, about 50 KB each.
+SLICE_ROWS = 128
 
 
 def _list_array(matrix: np.ndarray) -> pa.ListArray:
@@ -61,6 +64,17 @@ def _byte_view(scalar: pa.BinaryScalar) -> np.ndarray:
     return np.frombuffer(buffer if buffer is not None else b"", dtype=np.uint8)
 
 
+def _slices(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[tuple[pa.Array, ...]]:
+    """The columns of each batch in slices of SLICE_ROWS rows, without a copy."""
+    for columns in batches:
+        for start in range(0, len(columns[0]), SLICE_ROWS):
+            yield tuple(c.slice(start, SLICE_ROWS) for c in columns)
+
+
+def _sliced(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return (column for (column,) in _slices((b,) for b in batches))
+
+
 def _count_rows(content: pa.Array, n_channels: int) -> np.ndarray:
     counts = np.zeros((len(content), n_channels, HISTOGRAM_BINS), dtype=np.int64)
     for i, scalar in enumerate(content):
@@ -72,9 +86,9 @@ def byte_counts(content: Column, n_channels: int = 1) -> Column:
     """256-bin counts per channel of interleaved bytes, as one flat ``array<bigint>``."""
 
     @F.arrow_udf("array<bigint>")
-    def count(column: pa.Array) -> pa.Array:
-        counts = _count_rows(column, n_channels)
-        return _list_array(counts.reshape(len(column), -1))
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in _sliced(batches):
+            yield _list_array(_count_rows(column, n_channels).reshape(len(column), -1))
 
     return count(content)
 
@@ -83,11 +97,10 @@ def byte_statistics(content: Column, layout: str, n_channels: int = 3) -> Column
     """Statistics of interleaved bytes: 4 per channel, or the 12 over all channels."""
 
     @F.arrow_udf("array<double>")
-    def describe(column: pa.Array) -> pa.Array:
-        counts = _count_rows(column, n_channels)
-        if layout == "per_channel":
-            return _list_array(per_channel_statistics(counts))
-        return _list_array(global_statistics(counts))
+    def describe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        statistics = per_channel_statistics if layout == "per_channel" else global_statistics
+        for column in _sliced(batches):
+            yield _list_array(statistics(_count_rows(column, n_channels)))
 
     return describe(content)
 
@@ -99,8 +112,9 @@ def byte_features(df: DataFrame, content: str = "content", layout: str = "per_ch
     """
 
     @F.arrow_udf("array<double>")
-    def extract(column: pa.Array) -> pa.Array:
-        return _list_array(feature_rows(_count_rows(column, 3), layout))
+    def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in _sliced(batches):
+            yield _list_array(feature_rows(_count_rows(column, 3), layout))
 
     return df.withColumns(
         {
@@ -123,14 +137,15 @@ def image_features(
     """
 
     @F.arrow_udf("array<double>")
-    def extract(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array) -> pa.Array:
-        counts = np.zeros((len(data), 3, HISTOGRAM_BINS), dtype=np.int64)
-        shapes = zip(height.to_pylist(), width.to_pylist(), channels.to_pylist())
-        for i, (scalar, (h, w, c)) in enumerate(zip(data, shapes)):
-            found = image_counts(scalar.as_buffer(), h or 0, w or 0, c or 0, resample, (IMAGE_HEIGHT, IMAGE_WIDTH))
-            if found is not None:
-                counts[i] = found
-        return _list_array(feature_rows(counts, layout))
+    def extract(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for data, height, width, channels in _slices(batches):
+            counts = np.zeros((len(data), 3, HISTOGRAM_BINS), dtype=np.int64)
+            shapes = zip(height.to_pylist(), width.to_pylist(), channels.to_pylist())
+            for i, (scalar, (h, w, c)) in enumerate(zip(data, shapes)):
+                found = image_counts(scalar.as_buffer(), h or 0, w or 0, c or 0, resample, (IMAGE_HEIGHT, IMAGE_WIDTH))
+                if found is not None:
+                    counts[i] = found
+            yield _list_array(feature_rows(counts, layout))
 
     return images.withColumns(
         {"features": extract(*_raster_columns(image)), "is_valid": is_readable(image)}
@@ -153,19 +168,20 @@ def decoded_features(
     decode = decode or pillow_rgb
 
     @F.arrow_udf("struct<features:array<double>,is_valid:boolean>")
-    def extract(column: pa.Array) -> pa.Array:
-        counts = np.zeros((len(column), 3, HISTOGRAM_BINS), dtype=np.int64)
-        for i, scalar in enumerate(column):
-            raster = _decoded(scalar.as_py(), decode)
-            if raster is not None:
-                if resample:
-                    raster = resample_raster(raster, IMAGE_HEIGHT, IMAGE_WIDTH, resample)
-                counts[i] = channel_counts(raster)
-        readable = counts.any(axis=(1, 2))
-        return pa.StructArray.from_arrays(
-            [_list_array(feature_rows(counts, layout)), pa.array(readable)],
-            names=["features", "is_valid"],
-        )
+    def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in _sliced(batches):
+            counts = np.zeros((len(column), 3, HISTOGRAM_BINS), dtype=np.int64)
+            for i, scalar in enumerate(column):
+                raster = _decoded(scalar.as_py(), decode)
+                if raster is not None:
+                    if resample:
+                        raster = resample_raster(raster, IMAGE_HEIGHT, IMAGE_WIDTH, resample)
+                    counts[i] = channel_counts(raster)
+            readable = counts.any(axis=(1, 2))
+            yield pa.StructArray.from_arrays(
+                [_list_array(feature_rows(counts, layout)), pa.array(readable)],
+                names=["features", "is_valid"],
+            )
 
     extracted = df.withColumn("_extracted", extract.asNondeterministic()(F.col(content)))
     kept = [c for c in df.columns if c not in ("features", "is_valid")]
@@ -227,7 +243,7 @@ def embed_images(
     @F.arrow_udf("array<double>")
     def embed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = make_model()
-        for data, height, width_px, channels in batches:
+        for data, height, width_px, channels in _slices(batches):
             out = np.zeros((len(data), width))
             waiting: list[tuple[int, np.ndarray]] = []
 

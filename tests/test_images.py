@@ -264,3 +264,27 @@ def test_default_settings_on_jpeg_files(spark, tmp_path):
     for name, grey in (("a.jpg", 180), ("b.jpg", 40)):
         vector = np.array(rows[name]["features"])
         assert abs(vector[:768].sum() - 3) < 1e-9 and all(abs(vector[768 + 4 * c] - grey) < 3 for c in range(3))
+
+
+def test_large_batches_are_worked_off_in_slices(spark, monkeypatch):
+    # The kernels travel with the function, and this one with them.
+    def few_rows(counts, layout, rows=features.feature_rows):
+        if len(counts) > 256:
+            raise ValueError("too many rows at once")
+        return rows(counts, layout)
+
+    monkeypatch.setattr(features, "feature_rows", few_rows)
+    rows = spark.range(1000, numPartitions=1).selectExpr("id", "IF(id % 7 = 0, NULL, CAST(repeat(chr(id % 100 + 20), 6) AS BINARY)) AS content")
+    image = F.struct(F.lit(1).alias("height"), F.lit(2).alias("width"), F.lit(3).alias("nChannels"), F.col("content").alias("data"))
+    tables = [
+        features.byte_features(rows),
+        features.image_features(rows.withColumn("image", image), resample=None),
+        features.image_features(rows.withColumn("image", image), resample="nearest"),
+        features.decoded_features(rows, lambda b: np.frombuffer(b, dtype=np.uint8).reshape(1, 2, 3), resample=None),
+    ]
+    want = {i: (i % 7 != 0, float(i % 100 + 20) if i % 7 else 0.0) for i in range(1000)}
+    for table in tables:
+        told = table.select("id", "is_valid", F.col("features")[3 * 256].alias("mean")).collect()
+        assert len(told) == 1000 and {r["id"]: (r["is_valid"], round(r["mean"], 6)) for r in told} == want
+    sums = rows.select("id", F.aggregate(features.byte_counts("content", 3), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n"))
+    assert {r["id"]: r["n"] for r in sums.collect()} == {i: 6 if i % 7 else 0 for i in range(1000)}
