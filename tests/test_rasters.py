@@ -1,5 +1,7 @@
 """Count-based statistics against NumPy on the plain values."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -137,3 +139,21 @@ def test_counts_equal_those_of_the_copied_raster(height, width, channels, method
     np.testing.assert_array_equal(got, rasters.channel_counts(raster))
     assert rasters.image_counts(data[:-1], height, width, channels, method, size) is None
     assert rasters.image_counts(None, height, width, channels, method, size) is None
+
+
+def test_long_rows_need_no_full_matrix_of_weights():
+    raster = np.random.default_rng(3).integers(0, 256, (1, 40_000, 3), dtype=np.uint8)
+    tracemalloc.start()
+    out = rasters.resample_raster(raster, 224, 224)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Weights of all places for all others would take 72 MB.
+    assert out.shape == (224, 224, 3) and peak < 20 << 20
+    assert (40_000, 224) not in rasters._WEIGHTS
+
+
+def test_tall_rasters_are_brought_to_size_in_strips(monkeypatch):
+    raster = np.random.default_rng(4).integers(0, 256, (301, 40, 3), dtype=np.uint8)
+    want = rasters.resample_raster(raster, 224, 224)
+    monkeypatch.setattr(rasters, "STRIP_VALUES", 1000)
+    np.testing.assert_array_equal(rasters.resample_raster(raster, 224, 224), want)
