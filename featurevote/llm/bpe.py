@@ -23,11 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from featurevote.llm.common import map_texts, packed_lists, space_cuts
+from featurevote.llm.common import byte_level_pieces, map_texts, packed_lists
 
-# Fixed value: the splitting pattern of byte-level vocabularies.
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Bytes that a worker keeps at most in the memos of cuts and pieces, and entries in those of pairs and of
+# Bytes that a worker keeps at most in the memo of pieces, and entries in those of pairs and of
 # steps along failure links; a full memo starts anew. What is longer than LONG is not kept.
 # Smaller memos take more time, as invented words come back: see the README for both figures.
 MEMO_BYTES = 144 << 20
@@ -75,7 +73,6 @@ class ByteBpe:
         for token, number in self.specials.items():
             self.bytes_of[number] = token.encode()
         self.special = special_pattern(spec["added_tokens"])
-        self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
         self.rank = [-1] * self.size
         self.left, self.right = [0] * self.size, [0] * self.size
         self.pair_rank: dict[int, int] = {}
@@ -217,32 +214,26 @@ class ByteBpe:
         return self._encode(text)
 
     def _encode(self, text: str) -> bytes:
-        """A piece always starts at a space with something visible behind it, so texts are first cut
-        there; these cuts are looked up as they are, and only new ones meet the pattern."""
-        cuts = space_cuts(text)
-        first = self._cut(cuts[0])
-        got = list(map(self.cuts.get, cuts[1:]))
+        """Pieces are looked up, and only new ones are encoded. A memo of whole words with the marks
+        around them would hold each word several times and meet new ones twice as often."""
+        pieces = byte_level_pieces(text)
+        got = list(map(self.cuts.get, pieces))
         if None in got:
-            for k, ids in enumerate(got):
-                if ids is None:
-                    got[k] = self._cut(" " + cuts[k + 1])
-                    self._keep(cuts[k + 1], got[k])
-        return first + b"".join(got)
-
-    def _keep(self, cut: str, ids: bytes) -> None:
-        if len(cut) > LONG:
+            new = {p for p, ids in zip(pieces, got, strict=True) if ids is None}
+            fresh = {p: array("i", self.encode_piece(p)).tobytes() for p in new}
+            got = [fresh[p] if ids is None else ids for p, ids in zip(pieces, got, strict=True)]
+            for piece, ids in fresh.items():
+                self._keep(piece, ids)
+        return b"".join(got)
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) > LONG:
             return
         if self.held >= MEMO_BYTES:
             self.cuts.clear()
             self.held = 0
-        self.cuts[cut] = ids
-        self.held += len(cut) + len(ids) + ENTRY_BYTES
-
-    def _cut(self, text: str) -> bytes:
-        ids = []
-        for piece in [text] if text[:1] == " " and text[1:].isalpha() and text.isascii() else self.pattern.findall(text):
-            ids += self.encode_piece(piece)
-        return array("i", ids).tobytes()
+        self.cuts[piece] = ids
+        self.held += len(piece) + len(ids) + ENTRY_BYTES
 
 
 @functools.lru_cache(maxsize=2)

@@ -449,6 +449,20 @@ def test_memos_are_bounded_in_bytes_and_results_stay(monkeypatch):
     assert [scorer([t])[0] for t in texts] == alone and len(scorer.places) <= 400 + 20_000 // langid.ENTRY_BYTES
 
 
+WORD = "Zwxqvéj"
+MARKED = [f"It {WORD}{m} it" for m in (".", ",", "!\n", "\u2019s", ")", "; ", ".\n\nSo", "'t", "?!", "")]
+
+
+def library_ids(library, texts):
+    return [np.array(library.encode(t, add_special_tokens=False).ids, np.int32).tobytes() for t in texts]
+
+
+def test_bpe_keeps_a_word_once_whatever_marks_stand_around_it():
+    own, library = bpe.ByteBpe(public_tokenizers.path(BYTE_BPE)), Tokenizer.from_file(public_tokenizers.path(BYTE_BPE))
+    assert [own.encode(t) for t in MARKED] == library_ids(library, MARKED)
+    assert [c for c in own.cuts if WORD in c] == [f" {WORD}"]
+
+
 def test_column_forms_equal_the_tables(spark, sf_dir, odd):
     path = public_tokenizers.path(BYTE_BPE)
     whole = odd.select("doc_id", "text", bpe.tokens_of(F.col("text"), path).alias("t")).select("doc_id", "text", "t.*").collect()
