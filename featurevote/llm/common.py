@@ -126,7 +126,9 @@ def _known_pattern() -> tuple[re.Pattern, re.Pattern]:
     library, which matches them in half the time; and what finds any other character."""
     letter, number, space = (_ranges(kind, KNOWN) for kind in (r"\p{L}", r"\p{N}", r"\s"))
     other = f"[^{space}{letter}{number}]"
-    pieces = f" ?[{letter}]+| ?[{number}]+|'(?:[stmd]|re|ve|ll)| ?{other}+|[{space}]+(?![^{space}])|[{space}]+"
+    # Words first and without an optional space, as they are the most.
+    words, marks = f" [{letter}]+|[{letter}]+", f"'(?:[stmd]|re|ve|ll)|{other}+| {other}+"
+    pieces = f"{words}|{marks}| ?[{number}]+|[{space}]+(?![^{space}])|[{space}]+"
     return re.compile(pieces), re.compile(f"[^{_ranges('(?s:.)', KNOWN)}]")
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +19,47 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from featurevote.llm.common import map_texts, packed_lists, space_cuts, text_key
+from featurevote.llm.bpe import byte_characters
+from featurevote.llm.common import KNOWN, byte_level_pieces, has_only_known, map_texts, packed_lists, space_cuts, text_key
 
 STRIPE_BYTES = 64 << 20
 # Bytes that a worker keeps at most of cuts it has met; cuts longer than LONG are not kept.
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 256 << 20
 ENTRY_BYTES = 200
 LONG = 64
-MEMO_FIRSTS = 50_000
+# Every known character beside its neighbours, after what the pattern treats apart.
+SAMPLE = "a's't're've'm'll'd'S 's 'x 12345 a1 .a  b \n c\n\n\td\r\n e" + KNOWN
+
+
+class PieceMemo(dict):
+    """The ids of pieces by the pieces; what is not there is asked for as it is looked up."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        super().__init__()
+        self.ask, self.held = ask, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.ask(piece)
+        self.keep(piece, ids)
+        return ids
+
+    def keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) > LONG:
+            return
+        if self.held >= MEMO_BYTES:
+            self.clear()
+            self.held = 0
+        self[piece] = ids
+        self.held += len(piece) + len(ids) + ENTRY_BYTES
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, asked only for cuts of a text that it has not encoded yet."""
+    """Ids by the tokenizers library, asked only for cuts of a text that it has not encoded yet.
+
+    Cuts are the pieces that the library's model encodes apart, if the library splits a sample of all known characters
+    just as :func:`byte_level_pieces` does; else, and in texts with added tokens or other characters, they begin at
+    spaces that have something visible behind them.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -41,9 +72,28 @@ class LibraryEncoder:
         sizes = {i: len(t) for t, i in self.library.get_vocab().items()} | added
         self.n_bytes = np.zeros(1 + max(sizes), dtype=np.int64)
         self.n_bytes[list(sizes)] = list(sizes.values())
-        self.cuts: dict[str, bytes] = {}
-        self.held = 0
-        self.firsts: dict[str, bytes] = {}
+        self.cuts = PieceMemo(self.ask_piece)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model = self.library.model
+        self.characters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
+        self.space = self.characters[ord(" ")]
+        self.by_pieces = self._splits_into_pieces()
+
+    def _splits_into_pieces(self) -> bool:
+        if self.library.normalizer is not None or self.library.pre_tokenizer is None:
+            return False
+        found = [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(SAMPLE)]
+        return found == [self._written(p) for p in byte_level_pieces(SAMPLE)]
+
+    def _written(self, piece: str) -> str:
+        """A piece as the library's model takes it: a character for each byte."""
+        if piece.isascii() and piece.isprintable():
+            return piece.replace(" ", self.space)
+        return piece.encode().decode("latin-1").translate(self.characters)
+
+    def ask_piece(self, piece: str) -> bytes:
+        """The ids of a piece, from the library's model."""
+        return array("i", [t.id for t in self.model.tokenize(self._written(piece))]).tobytes()
 
     def ask(self, cuts: list[str]) -> list[bytes]:
         """The ids of each cut. The library gets all cuts as one text, which costs it much less than
@@ -62,30 +112,19 @@ class LibraryEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        first, *cuts = space_cuts(text)
-        if self.held >= MEMO_BYTES:
-            self.cuts, self.held = {}, 0
         memo = self.cuts
+        if self.by_pieces and has_only_known(text) and not any(map(text.__contains__, self.added)):
+            return b"".join(map(memo.__getitem__, byte_level_pieces(text)))
+        first, *cuts = space_cuts(text)
+        cuts = [" " + c for c in cuts]
         found = list(map(memo.get, cuts))
         if None in found:
             new = list({c for c, ids in zip(cuts, found, strict=True) if ids is None})
-            fresh = dict(zip(new, self.ask([" " + c for c in new]), strict=True))
+            fresh = dict(zip(new, self.ask(new), strict=True))
             found = [fresh[c] if ids is None else ids for c, ids in zip(cuts, found, strict=True)]
-            kept = {c: ids for c, ids in fresh.items() if len(c) <= LONG}
-            memo.update(kept)
-            self.held += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
-        return self._first(first) + b"".join(found)
-
-    def _first(self, cut: str) -> bytes:
-        """The ids of the beginning of a text, which often begins others too."""
-        ids = self.firsts.get(cut)
-        if ids is None:
-            ids = self.ask([cut])[0]
-            if len(cut) <= LONG:
-                if len(self.firsts) >= MEMO_FIRSTS:
-                    self.firsts.clear()
-                self.firsts[cut] = ids
-        return ids
+            for cut, ids in fresh.items():
+                memo.keep(cut, ids)
+        return b"".join([*self.ask([first]), *found])
 
 
 @functools.lru_cache(maxsize=2)

@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 import corpus_pipeline
 from featurevote.llm import bpe, decontam, html_text, langid, neardup, sharding, token_count, token_files, topk, url_filter
@@ -463,6 +463,22 @@ def test_bpe_keeps_a_word_once_whatever_marks_stand_around_it():
     assert [c for c in own.cuts if WORD in c] == [f" {WORD}"]
 
 
+def test_token_files_ask_for_a_word_once_whatever_marks_stand_around_it(tmp_path):
+    path = public_tokenizers.path(BYTE_BPE)
+    library, encoder = Tokenizer.from_file(path), token_files.LibraryEncoder(path)
+    assert [encoder.encode(t) for t in MARKED] == library_ids(library, MARKED)
+    assert [c for c in encoder.cuts if WORD in c] == [f" {WORD}"]
+    # Characters younger than the tables, beyond the basic plane, and added tokens take the library's own way.
+    odd = ["a\u088fb, \u0558x", "\U0001f600é, \U00020000b", " <|endoftext|> a,b<|endoftext|>", "\n\n x  "]
+    assert [encoder.encode(t) for t in odd] == library_ids(library, odd)
+    # A file with another pattern is not cut into these pieces.
+    library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    library.save(str(tmp_path / "digits.json"))
+    encoder, numbers = token_files.LibraryEncoder(str(tmp_path / "digits.json")), ["in 1999, 12345.", MARKED[0], "7 8"]
+    assert not encoder.by_pieces
+    assert [encoder.encode(t) for t in numbers] == library_ids(library, numbers)
+
+
 def test_column_forms_equal_the_tables(spark, sf_dir, odd):
     path = public_tokenizers.path(BYTE_BPE)
     whole = odd.select("doc_id", "text", bpe.tokens_of(F.col("text"), path).alias("t")).select("doc_id", "text", "t.*").collect()
